@@ -26,7 +26,7 @@ from .common import column, segments, slices, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 900_000, 64
 PUNCTUATION = ".,!?;:|%$#*&"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,7 +50,7 @@ class Words(dict):
         """Encode what is new. Latin letters before ASCII punctuation are looked up by their lower case: the splitter cuts there."""
         if len(self) > REMEMBERED:
             self.clear()
-        fresh = [w for w in words if w not in self and len(w) <= LONGEST]
+        fresh = [w for w in words - self.keys() if len(w) <= LONGEST]
         parts = {}
         for w in fresh:
             core = w.rstrip(PUNCTUATION)
@@ -67,6 +67,10 @@ class Words(dict):
     def encode(self, text: str) -> bytes:
         out = []
         for part in segments(text, 1 << 20):
+            try:  # Latin-1 is composed already, and lower case maps it letter by letter
+                part = part.encode("latin-1") and part.lower()
+            except UnicodeEncodeError:
+                pass
             words = part.replace("\n", " ").split(" ")
             self.learn(set(words))
             out.append(b"".join(map(self.__getitem__, words)))
