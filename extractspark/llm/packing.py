@@ -68,7 +68,8 @@ class Words(dict):
         out = []
         for part in segments(text, 1 << 20):
             try:  # Latin-1 is composed already, and lower case maps it letter by letter
-                part = part.encode("latin-1") and part.lower()
+                part.encode("latin-1")
+                part = part.lower()
             except UnicodeEncodeError:
                 pass
             words = part.replace("\n", " ").split(" ")
