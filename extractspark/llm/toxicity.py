@@ -80,11 +80,12 @@ class Chain:
             self.known.clear()
         known = self.known
         for i, words in enumerate(sets):
-            for w in words - known.keys():
-                known[w] = [self.at[f] for f in features(w) if f in self.at]
             for w in words:
-                if known[w]:
-                    x[i, known[w]] = 1
+                hits = known.get(w)
+                if hits is None:
+                    hits = known[w] = [self.at[f] for f in features(w) if f in self.at]
+                if hits:
+                    x[i, hits] = 1
         return x
 
     def fit(self, x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> np.ndarray:
