@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_mrf, licenses, media, packing, pii, toxicity
+from . import bpe, html_mrf, licenses, media, packing, pii, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents")).drop("member", "error")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_mrf.main_text(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
         "op2_media": op2_media,
+        "op3_quality": op3_quality,
         "op4_html": op4_html,
         "op5_toxicity": op5_toxicity,
         "op6_bpe": op6_bpe,
@@ -63,4 +68,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality": quality.score_sql()}
