@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_mrf, licenses, media, packing, pii, quality, toxicity
+from . import bpe, html_mrf, licenses, media, minhash, packing, pii, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op4_html": op4_html,
         "op5_toxicity": op5_toxicity,
         "op6_bpe": op6_bpe,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_packing": op9_packing,
         "op10_licenses": op10_licenses,
     }
