@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_mrf, licenses, media, minhash, packing, pii, quality, toxicity
+from . import bpe, html_mrf, licenses, media, minhash, packing, pii, quality, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op4_html": op4_html,
         "op5_toxicity": op5_toxicity,
         "op6_bpe": op6_bpe,
+        "op7_suffix_array": op7_suffix_array,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_packing": op9_packing,
         "op10_licenses": op10_licenses,
