@@ -269,11 +269,15 @@ def _cut(block: Block, replies: list[bytes], length: int) -> list[tuple[list[tup
 RESULT = "array<struct<start:int,stop:int>>"
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", spans: str = "removed", kept: str = "kept_bytes", length: int = LENGTH, hot: int = HOT, block_bytes: int = BLOCK, shard_bytes: int = SHARD) -> DataFrame:
-    """All columns, and two more: the removed spans (byte places, maximal) and the bytes that are left."""
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", spans: str = "removed", kept: str = "kept_bytes", length: int = LENGTH, hot: int = HOT, block_bytes: int = BLOCK, shard_bytes: int = SHARD, replace: bool = False) -> DataFrame:
+    """All columns, and two more: the removed spans (byte places, maximal) and the bytes that are left.
+
+    With replace there are no more columns: the text is what is left of it, without characters of which a part went; a
+    null text stays null.
+    """
     if length < GRAM + 1:
         raise ValueError(f"strings must be longer than {GRAM} bytes")
-    if {spans, kept} & set(docs.columns):
+    if not replace and {spans, kept} & set(docs.columns):
         raise ValueError(f"there is a column {spans!r} or {kept!r}: choose other names for the results")
     spark = docs.sparkSession
     ship(spark)
@@ -326,6 +330,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for packed in blocks["packed"].to_pylist():
             block = Block(packed, text, doc_id)
             done = _cut(block, replies["found"].to_pylist(), length)
+            if replace:
+                at = block.batch.schema.get_field_index(text)
+                left = pa.array([b.decode("utf-8", "ignore") if there else None for there, (_, b) in zip(block.batch.column(at).is_valid().to_pylist(), done, strict=True)], pa.string())
+                out.append(pa.Table.from_batches([block.batch.set_column(at, text, left)]))
+                continue
             marks = pa.array([[{"start": a, "stop": b} for a, b in s] for s, _ in done], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
             out.append(pa.Table.from_arrays([*block.batch.columns, marks, pa.array([b for _, b in done], pa.binary())], names=[*block.batch.schema.names, spans, kept]))
         return pa.concat_tables(out) if out else empty
@@ -333,7 +342,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-    result = StructType([*schema.fields, StructField(spans, ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))), StructField(kept, BinaryType())])
+    result = schema if replace else StructType([*schema.fields, StructField(spans, ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))), StructField(kept, BinaryType())])
     empty = to_arrow_schema(result).empty_table()
     blocks = written(typed.mapInArrow(pack, "block long, packed binary"), "blocks")
     prints = blocks.mapInArrow(tell, "shard long, block long, found binary")
