@@ -5,10 +5,15 @@ the first spreads a shingle over the universe of 32-bit numbers, the second is a
 1, 2, ..., K; coordinate k is the least image over the set. Bands of equal coordinates name buckets; five coordinates in
 each of 40 bands miss a pair at the threshold 0.75 with a chance of 0.00002, at 0.8 of 0.0000002.
 
-Equal sets are one class from the start. Each bucket then ties its members to the least of them only; those ties are
-verified on the full sets, and what holds joins members to components. Pairs inside a bucket are looked at in a second
-round, and only across components; a sketch of one bit a coordinate, six deviations wide, and the sizes rule out most
-before the sets are compared. So copies, however many, cost one tie each, and no bucket is spelled out as pairs.
+Equal sets are one class from the start. Each bucket then ties its members to the least of them only, its lead; those
+ties are verified on the full sets, and what holds joins members to components. So copies, however many, cost one tie
+each, and no bucket is spelled out as pairs.
+
+A second round looks across components, among members x, y of one lead c. Both linked with c would be one component; so
+one, x, is not. If x and y are linked they share at least 3/7 (|x| + |y|) shingles, of which c holds at most the lesser of
+|x & c| and |y & c|. Where that leaves something, x and y share a shingle that c lacks: such shingles are rare, and pairs
+meet by them. By the prefix principle the least common one is among the first of each member's own, counted by how many
+must be shared. Where it leaves nothing, the sizes and the counts with c name the few pairs. All are verified in full.
 Components come from alternating large-star and small-star steps on the links, each written to the shared folder.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than five
@@ -33,8 +38,6 @@ from .common import column, slices, written
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: Linked if FRACTION[1] * intersection >= FRACTION[0] * union.
 FRACTION = (75, 100)
-#: Most differing bits of two sketches of BANDS * ROWS bits: 25 are expected at the threshold, with a deviation of 4.7.
-SKETCH_BITS = 54
 _SEGMENT = 1 << 20
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,15 +171,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(key)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate, 256 bits a row (unused ones 0)."""
-    bits = np.zeros((len(signature), 256), np.uint8)
-    bits[:, : signature.shape[1]] = np.bitwise_count(signature) & 1
-    return np.packbits(bits, axis=1).view(">u8").astype(np.int64)
-
-
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), two halves of the set's digest, band keys and sketch (empty sets: none)."""
+    """doc_id, n (size of the set), two halves of the set's digest, band keys (empty sets: none)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,32 +180,25 @@ def described(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(column(batch, "text").to_pylist())
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             full = [i for i, s in enumerate(sets) if len(s)]
-            signed = signatures([sets[i] for i in full])
-            keys, marks = band_keys(signed), sketches(signed)
+            keys = band_keys(signatures([sets[i] for i in full]))
             packed: list[bytes | None] = [None] * len(sets)
             for r, i in enumerate(full):
-                packed[i] = marks[r].tobytes() + keys[r].tobytes()
+                packed[i] = keys[r].tobytes()
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(packed, pa.binary())], names=["doc_id", "n", "d1", "d2", "packed"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, packed binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """A row for each band of each class: key, id, n and the sketch's four parts."""
+    """A row for each band of each class: key and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                packed = np.frombuffer(b"".join(column(part, "packed").to_pylist()), np.int64).reshape(-1, 4 + BANDS)
-                repeat = lambda x: np.repeat(x, BANDS)
-                ids, n = (column(part, c).to_numpy() for c in ("id", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (packed[:, 4:].reshape(-1), repeat(ids), repeat(n), *(repeat(packed[:, j]) for j in range(4)))], names=["key", "id", "n", "s0", "s1", "s2", "s3"])
-
-    return classes.select("id", "n", "packed").mapInArrow(run, "key long, id long, n long, s0 long, s1 long, s2 long, s3 long")
+                keys = np.frombuffer(b"".join(column(part, "packed").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(column(part, "id").to_numpy(), BANDS))], names=["key", "id"])
 
-
-def similar_size(a: Column, b: Column) -> Column:
-    return FRACTION[1] * F.least(a, b) >= FRACTION[0] * F.greatest(a, b)
+    return classes.select("id", "packed").mapInArrow(run, "key long, id long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -223,21 +212,56 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "id").mapInArrow(run, "id long, shingles binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and their sets x, y."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def _own(x: pa.Scalar, y: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sets, and which of the second's members the first lacks."""
+    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+    at = np.searchsorted(s, t)
+    at[at == len(s)] = 0
+    return s, t, (s[at] != t) if len(s) else np.ones(len(t), bool)
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n (size of b's set), common (size of the intersection) and linked, for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            n, common, linked = [], [], []
             for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(s) + len(t) - len(np.union1d(s, t))
-                keep.append(common > 0 and FRACTION[1] * common >= FRACTION[0] * (len(s) + len(t) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                s, t, own = _own(x, y)
+                c = len(t) - int(own.sum())
+                n.append(len(t))
+                common.append(c)
+                linked.append(c > 0 and FRACTION[1] * c >= FRACTION[0] * (len(s) + len(t) - c))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "n", "common", "linked"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long, n long, common long, linked boolean")
+
+
+def own_shingles(ties: DataFrame, sets: DataFrame) -> DataFrame:
+    """lead, shingle, id: of what the member has and the lead lacks, the first ones that a link could need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads, ids, found = [], [], []
+            for a, b, x, y in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), column(batch, "x"), column(batch, "y"), strict=True):
+                _, t, own = _own(x, y)
+                mine = t[own]
+                must = max(1, -(-FRACTION[0] * len(t) // FRACTION[1]) - (len(t) - len(mine)))
+                first = mine[: max(0, len(mine) - must + 1)]
+                leads.append(np.full(len(first), a, np.int64))
+                ids.append(np.full(len(first), b, np.int64))
+                found.append(first.view(np.int64))
+            if leads:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (leads, found, ids)], names=["lead", "shingle", "id"])
+
+    return with_sets(ties, sets).mapInArrow(run, "lead long, shingle long, id long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,30 +285,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     rows = written(described(docs), "described")
     known = rows.where("n > 0 and doc_id is not null")
-    classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("packed").alias("packed")), "classes")
+    classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("packed").alias("packed")), "classes")
     buckets = banded(classes)
     shared = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
-    members = written(buckets.join(shared, "key"), "buckets")
-    sizes = classes.groupBy("id").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    ties = members.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.first("n").alias("n"))
-    ties = written(ties.join(sizes, F.col("a") == F.col("id")).where(similar_size(F.col("n"), F.col("n0")) | similar_size(F.col("n"), F.col("n1")) | (F.col("n0") < F.col("n1"))).select("a", "b"), "ties")
-    sets = written(full_sets(docs, members.select("id").distinct()), "sets")
-    links = written(linked(ties, sets), "links")
+    ties = written(buckets.join(shared, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "ties")
+    tied = ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct()
+    sets = written(full_sets(docs, tied), "sets")
+    judged = written(compared(ties, sets).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("common").alias("common"), F.max("linked").alias("linked")), "judged")
+    links = judged.where("linked").select("a", "b")
     labels = components(links)
-    # Second round: what a bucket holds of different components.
-    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("lead")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = named.join(mixed, "key", "left_semi")
-    right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "s0", "s1", "s2", "s3", "component")])
-    bits = sum((F.bit_count(F.col(f"s{j}").bitwiseXOR(F.col(f"s{j}_"))) for j in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_"))))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("component") < F.col("component_")) & similar_size(F.col("n"), F.col("n_")) & (bits <= SKETCH_BITS))
-    pairs = across.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-    pairs = written(pairs.join(ties, ["a", "b"], "left_anti"), "across")
+    pairs = written(across(judged, labels, sets), "across")
     if not pairs.isEmpty():
-        more = written(linked(pairs, sets), "links")
+        more = written(compared(pairs, sets).where("linked").select("a", "b"), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     classed = classes.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     plain = rows.select("doc_id", F.col("n").alias("n_shingles"), *[F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(d)).alias(d) for d in ("d1", "d2")])
     found = plain.join(classed, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def across(judged: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of one lead's members, of different components, that may be linked (see the module's text)."""
+    named = judged.join(labels, judged["b"] == labels["id"], "left").select("a", "b", "n", "common", "linked", F.coalesce("component", "b").alias("component"))
+    leads = judged.select("a").distinct().join(labels, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("of_lead"))
+    mixed = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).join(leads, "a").where("low <> high or low <> of_lead").select("a")
+    members = written(named.join(mixed, "a", "left_semi"), "members")
+    facts = members.select(F.col("a").alias("lead"), F.col("b").alias("id"), "n", "common", "linked", "component")
+    mine = written(own_shingles(members, sets).join(facts, ["lead", "id"]), "own")
+    other = lambda df: df.select("lead", *[F.col(c).alias(f"{c}_") for c in df.columns if c != "lead"])
+    sizes = (FRACTION[1] * F.least("n", "n_") >= FRACTION[0] * F.greatest("n", "n_")) & (F.col("component") != F.col("component_"))
+    by_shingle = mine.where("not linked").alias("x").join(other(mine).alias("y"), (F.col("x.lead") == F.col("y.lead")) & (F.col("shingle") == F.col("shingle_")) & sizes)
+    # Nothing but what the lead holds may be needed.
+    held = (FRACTION[0] + FRACTION[1]) * F.least("common", "common_") >= FRACTION[0] * (F.col("n") + F.col("n_"))
+    # Only members that hold enough of the lead for some partner of the least fitting size can be in such a pair.
+    able = facts.where((FRACTION[0] + FRACTION[1]) * F.col("common") * FRACTION[1] >= FRACTION[0] * (FRACTION[0] + FRACTION[1]) * F.col("n"))
+    by_lead = able.where("not linked").alias("x").join(other(able).alias("y"), (F.col("x.lead") == F.col("y.lead")) & sizes & held)
+    pairs = by_shingle.select("id", "id_").unionByName(by_lead.select("id", "id_")).where("id <> id_")
+    pairs = pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    return pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
