@@ -13,7 +13,9 @@ a null doc_id stays null; an empty table gives no rows; further columns are igno
 from __future__ import annotations
 
 import functools
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,7 @@ from .common import column, segments, slices, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 900_000, 64
-PUNCTUATION = ".,!?;:|%$#*&"
+REMEMBERED, LONGEST = 1_400_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,28 +42,14 @@ class Words(dict):
         self.encoder.encode_special_tokens = True
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.encoder.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = array("I", self.encoder.encode(word, add_special_tokens=False).ids)
+        if ids.itemsize != 4 or sys.byteorder != "little":
+            ids = np.asarray(ids, dtype="<u4")
         if len(word) <= LONGEST:
-            self[word] = ids
-        return ids
-
-    def learn(self, words: set[str]) -> None:
-        """Encode what is new. Latin letters before ASCII punctuation are looked up by their lower case: the splitter cuts there."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        fresh = [w for w in words if w not in self and len(w) <= LONGEST]
-        parts = {}
-        for w in fresh:
-            core = w.rstrip(PUNCTUATION)
-            if core.isalpha() and max(core) < "\u0130":
-                parts[w] = core.lower(), w[len(core) :]
-        missing = list({x for p in parts.values() for x in p if x not in self} | {w for w in fresh if w not in parts})
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for word, found in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(found.ids, dtype="<u4").tobytes()
-        for w, (core, tail) in parts.items():
-            self[w] = self[core] + self[tail]
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids.tobytes()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -72,9 +59,7 @@ class Words(dict):
                 part = part.lower()
             except UnicodeEncodeError:
                 pass
-            words = part.replace("\n", " ").split(" ")
-            self.learn(set(words))
-            out.append(b"".join(map(self.__getitem__, words)))
+            out.append(b"".join(map(self.__getitem__, part.replace("\n", " ").split(" "))))
         return b"".join(out)
 
 
