@@ -21,3 +21,10 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(top.parent).as_posix())
     context.addPyFile(str(target))
     context._extractspark_shipped = True
+
+
+def ship_active() -> None:
+    """ship for the active session, if there is one: for functions that only see columns."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
