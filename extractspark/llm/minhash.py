@@ -9,12 +9,14 @@ Equal sets are one class from the start. Each bucket then ties its members to th
 ties are verified on the full sets, and what holds joins members to components. So copies, however many, cost one tie
 each, and no bucket is spelled out as pairs.
 
-A second round looks across components, among members x, y of one lead c. Both linked with c would be one component; so
+Further rounds look across components, among members x, y of one lead c. Both linked with c would be one component; so
 one, x, is not. If x and y are linked they share at least 3/7 (|x| + |y|) shingles, of which c holds at most the lesser of
-|x & c| and |y & c|. Where that leaves something, x and y share a shingle that c lacks: such shingles are rare, and pairs
-meet by them. By the prefix principle the least common one is among the first of each member's own, counted by how many
-must be shared. Where it leaves nothing, the sizes and the counts with c name the few pairs. A sketch of one bit a coordinate
-rules out pairs 4.5 deviations below the threshold; all others are verified in full.
+|x & c| and |y & c|. Where that leaves something, x and y share a shingle that c lacks; by the prefix principle the least
+common one is among the first of each member's own, counted by how many must be shared. Members of different components
+that have such a shingle in common are tied to the least of them in turn, which is a lead of the next round, so every such
+pair is compared or becomes one component, and again one tie a member is enough. Where nothing is left, the sizes and the
+counts with c name the few pairs; a sketch of one bit a coordinate rules out those 4.5 deviations below the threshold.
+
 Components come from alternating large-star and small-star steps on the links, each written to the shared folder.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than five
@@ -232,7 +234,8 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([s.tobytes() for s in shingle_sets(column(batch, "text").to_pylist())], pa.binary())], names=["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    return texts.join(ids, "id").mapInArrow(run, "id long, shingles binary")
+    # Of a size unknown beforehand: merged, at any size, so that the plan doesn't turn with the input.
+    return texts.join(ids.hint("merge"), "id").mapInArrow(run, "id long, shingles binary")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,7 +267,8 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(c > 0 and FRACTION[1] * c >= FRACTION[0] * (len(s) + len(t) - c))
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "n", "common", "linked"])
 
-    return with_sets(pairs, sets).mapInArrow(run, "a long, b long, n long, common long, linked boolean")
+    found = with_sets(pairs, sets).mapInArrow(run, "a long, b long, n long, common long, linked boolean")
+    return found.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("common").alias("common"), F.max("linked").alias("linked"))
 
 
 def own_shingles(ties: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,38 +318,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ties = written(buckets.join(shared, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "ties")
     tied = ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct()
     sets = written(full_sets(docs, tied), "sets")
-    judged = written(compared(ties, sets).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("common").alias("common"), F.max("linked").alias("linked")), "judged")
-    links = judged.where("linked").select("a", "b")
-    labels = components(links)
-    pairs = written(across(judged, labels, sets, marked(classes)), "across")
-    if not pairs.isEmpty():
-        more = written(compared(pairs, sets).where("linked").select("a", "b"), "links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    marks = written(marked(classes).dropDuplicates(["id"]).join(tied.hint("merge"), "id", "left_semi"), "marks")
+    judged = written(compared(ties, sets), "judged")
+    labels = components(judged.where("linked").select("a", "b"))
+    fresh = judged
+    while True:
+        ties, pairs = across(judged, fresh, labels, sets, marks)
+        new = written(ties.unionByName(pairs).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"), "ties")
+        if new.isEmpty():
+            break
+        fresh = written(compared(new, sets), "judged")
+        judged = written(judged.unionByName(fresh), "judged")
+        if not fresh.where("linked").isEmpty():
+            labels = components(judged.where("linked").select("a", "b"))
     classed = classes.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     plain = rows.select("doc_id", F.col("n").alias("n_shingles"), *[F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(d)).alias(d) for d in ("d1", "d2")])
     found = plain.join(classed, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def across(judged: DataFrame, labels: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs of one lead's members, of different components, that may be linked (see the module's text)."""
-    named = judged.join(labels, judged["b"] == labels["id"], "left").select("a", "b", "n", "common", "linked", F.coalesce("component", "b").alias("component"))
-    leads = judged.select("a").distinct().join(labels, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("of_lead"))
+def across(judged: DataFrame, fresh: DataFrame, labels: DataFrame, sets: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ties (a, b) to the least member of a shared shingle, and pairs that a lead may hold (see the module's text).
+
+    fresh: the ties since the last round; their leads are looked at, with all members that were ever tied to them.
+    """
+    touched = judged.join(fresh.select("a").distinct(), "a", "left_semi")
+    named = touched.join(labels, touched["b"] == labels["id"], "left").select("a", "b", "n", "common", "linked", F.coalesce("component", "b").alias("component"))
+    leads = fresh.select("a").distinct().join(labels, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("of_lead"))
     mixed = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).join(leads, "a").where("low <> high or low <> of_lead").select("a")
     members = written(named.join(mixed, "a", "left_semi"), "members")
-    facts = written(members.select(F.col("a").alias("lead"), F.col("b").alias("id"), "n", "common", "linked", "component").join(marks, "id"), "facts")
-    mine = written(own_shingles(members, sets).join(facts, ["lead", "id"]), "own")
-    other = lambda df: df.select("lead", *[F.col(c).alias(f"{c}_") for c in df.columns if c != "lead"])
-    sizes = (FRACTION[1] * F.least("n", "n_") >= FRACTION[0] * F.greatest("n", "n_")) & (F.col("component") != F.col("component_"))
+    mine = own_shingles(members, sets).join(members.select(F.col("a").alias("lead"), F.col("b").alias("id"), "component"), ["lead", "id"])
+    mine = written(mine, "own")
+    # Rows meet by aggregates, not by a join of members with members.
+    common = mine.groupBy("lead", "shingle").agg(F.min("id").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    ties = mine.join(common, ["lead", "shingle"]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    # Nothing but what the lead holds may be needed: only members that hold enough of it can be in such a pair.
+    least, whole = FRACTION[0], FRACTION[0] + FRACTION[1]
+    able = members.where(whole * F.col("common") * FRACTION[1] >= least * whole * F.col("n"))
+    facts = able.select(F.col("a").alias("lead"), F.col("b").alias("id"), "n", "common", "linked", "component").join(marks, "id")
+    other = facts.select("lead", *[F.col(c).alias(f"{c}_") for c in facts.columns if c != "lead"])
     bits = [F.bit_count(F.col(f"s{j}").bitwiseXOR(F.col(f"s{j}_"))) for j in range(4)]
-    sizes &= bits[0] + bits[1] + bits[2] + bits[3] <= SKETCH_BITS
-    by_shingle = mine.where("not linked").alias("x").join(other(mine).alias("y"), (F.col("x.lead") == F.col("y.lead")) & (F.col("shingle") == F.col("shingle_")) & sizes)
-    # Nothing but what the lead holds may be needed.
-    held = (FRACTION[0] + FRACTION[1]) * F.least("common", "common_") >= FRACTION[0] * (F.col("n") + F.col("n_"))
-    # Only members that hold enough of the lead for some partner of the least fitting size can be in such a pair.
-    able = facts.where((FRACTION[0] + FRACTION[1]) * F.col("common") * FRACTION[1] >= FRACTION[0] * (FRACTION[0] + FRACTION[1]) * F.col("n"))
-    by_lead = able.where("not linked").alias("x").join(other(able).alias("y"), (F.col("x.lead") == F.col("y.lead")) & sizes & held)
-    pairs = by_shingle.select("id", "id_").unionByName(by_lead.select("id", "id_")).where("id <> id_")
-    pairs = pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-    return pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    fit = (FRACTION[1] * F.least("n", "n_") >= least * F.greatest("n", "n_")) & (F.col("component") != F.col("component_")) & (bits[0] + bits[1] + bits[2] + bits[3] <= SKETCH_BITS)
+    held = whole * F.least("common", "common_") >= least * (F.col("n") + F.col("n_"))
+    pairs = facts.where("not linked").alias("x").join(other.alias("y"), (F.col("x.lead") == F.col("y.lead")) & fit & held)
+    return ties, pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).where("a <> b").distinct()
