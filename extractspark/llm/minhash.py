@@ -9,13 +9,11 @@ Equal sets are one class from the start. Each bucket then ties its members to th
 ties are verified on the full sets, and what holds joins members to components. So copies, however many, cost one tie
 each, and no bucket is spelled out as pairs.
 
-Further rounds look across components, among members x, y of one lead c. Both linked with c would be one component; so
-one, x, is not. If x and y are linked they share at least 3/7 (|x| + |y|) shingles, of which c holds at most the lesser of
-|x & c| and |y & c|. Where that leaves something, x and y share a shingle that c lacks; by the prefix principle the least
-common one is among the first of each member's own, counted by how many must be shared. Members of different components
-that have such a shingle in common are tied to the least of them in turn, which is a lead of the next round, so every such
-pair is compared or becomes one component, and again one tie a member is enough. Where nothing is left, the sizes and the
-counts with c name the few pairs; a sketch of one bit a coordinate rules out those 4.5 deviations below the threshold.
+One more round looks across components, among the members of one lead c. Both linked with c would be one component; so of
+a pair to be looked at one, x, is not. A member is written as what it lacks of c (a mask over c's shingles) and what it has
+beyond c; from these the intersection of two members follows exactly: |x & c| + |y & c| - |c| + |lacked by both| + |had by
+both|. Members not linked with c meet all members in blocks of bounded size, the counts of a whole block at once, and only
+links that join two components leave a block. So no pair is ever a row.
 
 Components come from alternating large-star and small-star steps on the links, each written to the shared folder.
 
@@ -41,8 +39,8 @@ from .common import column, slices, written
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: Linked if FRACTION[1] * intersection >= FRACTION[0] * union.
 FRACTION = (75, 100)
-#: Most differing bits of two sketches (one bit a coordinate): at the threshold 25 are expected, with a deviation of 4.7.
-SKETCH_BITS = 46
+#: Members not linked with their lead, and members, in a block of the second round; rows that share a task's group.
+BLOCK = (1000, 4000, 4000)
 _SEGMENT = 1 << 20
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,15 +174,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(key)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate, 256 bits a row (unused ones 0)."""
-    bits = np.zeros((len(signature), 256), np.uint8)
-    bits[:, : signature.shape[1]] = np.bitwise_count(signature) & 1
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), two halves of the set's digest, the sketch and the band keys (empty sets: none)."""
+    """doc_id, n (size of the set), two halves of the set's digest, band keys (empty sets: none)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +183,10 @@ def described(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(column(batch, "text").to_pylist())
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             full = [i for i, s in enumerate(sets) if len(s)]
-            signed = signatures([sets[i] for i in full])
-            keys, marks = band_keys(signed), sketches(signed)
+            keys = band_keys(signatures([sets[i] for i in full]))
             packed: list[bytes | None] = [None] * len(sets)
             for r, i in enumerate(full):
-                packed[i] = marks[r].tobytes() + keys[r].tobytes()
+                packed[i] = keys[r].tobytes()
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(packed, pa.binary())], names=["doc_id", "n", "d1", "d2", "packed"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, packed binary")
@@ -208,24 +198,12 @@ def banded(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                keys = np.frombuffer(b"".join(column(part, "packed").to_pylist()), np.int64).reshape(-1, 4 + BANDS)[:, 4:]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(column(part, "id").to_numpy(), BANDS))], names=["key", "id"])
+                keys = np.frombuffer(b"".join(column(part, "packed").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(column(part, "id").to_numpy(), BANDS))], names=["key", "id"])
 
     return classes.select("id", "packed").mapInArrow(run, "key long, id long")
 
 
-def marked(classes: DataFrame) -> DataFrame:
-    """id and the four parts of the sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                marks = np.frombuffer(b"".join(p[:32] for p in column(batch, "packed").to_pylist()), np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([column(batch, "id"), *(pa.array(np.ascontiguousarray(marks[:, j])) for j in range(4))], names=["id", "s0", "s1", "s2", "s3"])
-
-    return classes.select("id", "packed").mapInArrow(run, "id long, s0 long, s1 long, s2 long, s3 long")
-
-
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and set of the documents named by ids."""
 
@@ -271,24 +249,55 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("common").alias("common"), F.max("linked").alias("linked"))
 
 
-def own_shingles(ties: DataFrame, sets: DataFrame) -> DataFrame:
-    """lead, shingle, id: of what the member has and the lead lacks, the first ones that a link could need."""
+def deltas(ties: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, size (of a's set), lacked (a mask over a's set) and beyond (hashes that a lacks) for each tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leads, ids, found = [], [], []
-            for a, b, x, y in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), column(batch, "x"), column(batch, "y"), strict=True):
-                _, t, own = _own(x, y)
-                mine = t[own]
-                must = max(1, -(-FRACTION[0] * len(t) // FRACTION[1]) - (len(t) - len(mine)))
-                first = mine[: max(0, len(mine) - must + 1)]
-                leads.append(np.full(len(first), a, np.int64))
-                ids.append(np.full(len(first), b, np.int64))
-                found.append(first.view(np.int64))
-            if leads:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (leads, found, ids)], names=["lead", "shingle", "id"])
-
-    return with_sets(ties, sets).mapInArrow(run, "lead long, shingle long, id long")
+            size, lacked, beyond = [], [], []
+            for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True):
+                s, t, own = _own(x, y)
+                there = np.zeros(-(-len(s) // 64) * 64, bool)
+                there[: len(s)] = True
+                there[np.searchsorted(s, t[~own])] = False
+                size.append(len(s))
+                lacked.append(np.packbits(there).tobytes())
+                beyond.append(t[own].tobytes())
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(size, pa.int64()), pa.array(lacked, pa.binary()), pa.array(beyond, pa.binary())], names=["a", "b", "size", "lacked", "beyond"])
+
+    return with_sets(ties, sets).mapInArrow(run, "a long, b long, size long, lacked binary, beyond binary")
+
+
+def _block_links(asks: list[dict], members: list[dict]) -> Iterator[tuple[int, int]]:
+    """Links between members of one lead that join components: those that ask against all."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    size = members[0]["size"]
+    n = np.array([m["n"] for m in members])
+    common = np.array([m["common"] for m in members])
+    masks = np.frombuffer(b"".join(m["lacked"] for m in members), np.uint64).reshape(len(members), -1)
+    own = [np.frombuffer(m["beyond"], np.uint64) for m in members]
+    owner = np.repeat(np.arange(len(members)), [len(o) for o in own])
+    values = np.concatenate(own)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for x in asks:
+        mine = np.frombuffer(x["beyond"], np.uint64)
+        low, high = np.searchsorted(values, mine), np.searchsorted(values, mine, "right")
+        many = high - low
+        hits = owner[np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+        both = np.bincount(hits, minlength=len(members)) + np.bitwise_count(masks & np.frombuffer(x["lacked"], np.uint64)).sum(axis=1, dtype=np.int64)
+        shared = x["common"] + common - size + both
+        for i in np.flatnonzero((shared > 0) & (FRACTION[1] * shared >= FRACTION[0] * (x["n"] + n - shared))).tolist():
+            c, d = find(x["component"]), find(members[i]["component"])
+            if c != d:
+                root[max(c, d)] = min(c, d)
+                yield x["id"], members[i]["id"]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -318,47 +327,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ties = written(buckets.join(shared, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "ties")
     tied = ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct()
     sets = written(full_sets(docs, tied), "sets")
-    marks = written(marked(classes).dropDuplicates(["id"]).join(tied.hint("merge"), "id", "left_semi"), "marks")
     judged = written(compared(ties, sets), "judged")
-    labels = components(judged.where("linked").select("a", "b"))
-    fresh = judged
-    while True:
-        ties, pairs = across(judged, fresh, labels, sets, marks)
-        new = written(ties.unionByName(pairs).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"), "ties")
-        if new.isEmpty():
-            break
-        fresh = written(compared(new, sets), "judged")
-        judged = written(judged.unionByName(fresh), "judged")
-        if not fresh.where("linked").isEmpty():
-            labels = components(judged.where("linked").select("a", "b"))
+    links = judged.where("linked").select("a", "b")
+    labels = components(links)
+    more = written(across(judged, labels, sets), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     classed = classes.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     plain = rows.select("doc_id", F.col("n").alias("n_shingles"), *[F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(d)).alias(d) for d in ("d1", "d2")])
     found = plain.join(classed, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def across(judged: DataFrame, fresh: DataFrame, labels: DataFrame, sets: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ties (a, b) to the least member of a shared shingle, and pairs that a lead may hold (see the module's text).
-
-    fresh: the ties since the last round; their leads are looked at, with all members that were ever tied to them.
-    """
-    touched = judged.join(fresh.select("a").distinct(), "a", "left_semi")
-    named = touched.join(labels, touched["b"] == labels["id"], "left").select("a", "b", "n", "common", "linked", F.coalesce("component", "b").alias("component"))
-    leads = fresh.select("a").distinct().join(labels, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("of_lead"))
-    mixed = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).join(leads, "a").where("low <> high or low <> of_lead").select("a")
-    members = written(named.join(mixed, "a", "left_semi"), "members")
-    mine = own_shingles(members, sets).join(members.select(F.col("a").alias("lead"), F.col("b").alias("id"), "component"), ["lead", "id"])
-    mine = written(mine, "own")
-    # Rows meet by aggregates, not by a join of members with members.
-    common = mine.groupBy("lead", "shingle").agg(F.min("id").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    ties = mine.join(common, ["lead", "shingle"]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    # Nothing but what the lead holds may be needed: only members that hold enough of it can be in such a pair.
-    least, whole = FRACTION[0], FRACTION[0] + FRACTION[1]
-    able = members.where(whole * F.col("common") * FRACTION[1] >= least * whole * F.col("n"))
-    facts = able.select(F.col("a").alias("lead"), F.col("b").alias("id"), "n", "common", "linked", "component").join(marks, "id")
-    other = facts.select("lead", *[F.col(c).alias(f"{c}_") for c in facts.columns if c != "lead"])
-    bits = [F.bit_count(F.col(f"s{j}").bitwiseXOR(F.col(f"s{j}_"))) for j in range(4)]
-    fit = (FRACTION[1] * F.least("n", "n_") >= least * F.greatest("n", "n_")) & (F.col("component") != F.col("component_")) & (bits[0] + bits[1] + bits[2] + bits[3] <= SKETCH_BITS)
-    held = whole * F.least("common", "common_") >= least * (F.col("n") + F.col("n_"))
-    pairs = facts.where("not linked").alias("x").join(other.alias("y"), (F.col("x.lead") == F.col("y.lead")) & fit & held)
-    return ties, pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).where("a <> b").distinct()
+def across(judged: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one lead that are of different components (see the module's text)."""
+    named = judged.join(labels, judged["b"] == labels["id"], "left").select("a", "b", "n", "common", "linked", F.coalesce("component", "b").alias("component"))
+    leads = judged.select("a").distinct().join(labels, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("of_lead"))
+    sizes = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("asking"), F.count("*").alias("members"))
+    mixed = sizes.join(leads, "a").where("members > 1 and low <> high")
+    blocks = mixed.select("a", F.ceil(F.col("asking") / BLOCK[0]).cast("int").alias("rows"), F.ceil(F.col("members") / BLOCK[1]).cast("int").alias("columns"))
+    facts = written(named.join(blocks, "a"), "facts")
+    groups = max(64, facts.count() // BLOCK[2])
+    full = facts.join(deltas(facts, sets), ["a", "b"])
+    # Each member goes to its column of blocks; one that asks goes to its row of blocks, too.
+    row, col = F.pmod(F.xxhash64("b"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("b", F.lit(1)), F.col("columns")).cast("int")
+    steps = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(steps("rows"), lambda i: F.struct(i.alias("i"), col.alias("j"), F.lit(False).alias("asks")))
+    as_asking = F.when(~F.col("linked"), F.transform(steps("columns"), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<i:int,j:int,asks:boolean>>"))
+    placed = full.withColumn("at", F.explode(F.concat(as_member, as_asking))).select(F.col("a").alias("lead"), F.col("b").alias("id"), "n", "common", "component", "size", "lacked", "beyond", "at.*")
+    placed = placed.withColumn("group", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(groups)))
+
+    def run(rows: pa.Table) -> pa.Table:
+        held: dict[tuple, tuple[list, list]] = {}
+        for r in rows.to_pylist():
+            held.setdefault((r["lead"], r["i"], r["j"]), ([], []))[0 if r["asks"] else 1].append(r)
+        found = [(min(x, y), max(x, y)) for asks, members in held.values() if asks and members for x, y in _block_links(asks, members)]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return placed.groupBy("group").applyInArrow(run, "a long, b long")
