@@ -250,22 +250,26 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def deltas(ties: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, size (of a's set), lacked (a mask over a's set) and beyond (hashes that a lacks) for each tie."""
+    """a, b, lead_set (which set of a), its size, n (size of b's set), common, lacked (a mask over a's set) and beyond (what
+    a lacks) for each tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, lacked, beyond = [], [], []
+            which, size, n, common, lacked, beyond = [], [], [], [], [], []
             for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True):
                 s, t, own = _own(x, y)
                 there = np.zeros(-(-len(s) // 64) * 64, bool)
                 there[: len(s)] = True
                 there[np.searchsorted(s, t[~own])] = False
+                which.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True))
                 size.append(len(s))
+                n.append(len(t))
+                common.append(len(t) - int(own.sum()))
                 lacked.append(np.packbits(there).tobytes())
                 beyond.append(t[own].tobytes())
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(size, pa.int64()), pa.array(lacked, pa.binary()), pa.array(beyond, pa.binary())], names=["a", "b", "size", "lacked", "beyond"])
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), *(pa.array(v, pa.int64()) for v in (which, size, n, common)), pa.array(lacked, pa.binary()), pa.array(beyond, pa.binary())], names=["a", "b", "lead_set", "size", "n", "common", "lacked", "beyond"])
 
-    return with_sets(ties, sets).mapInArrow(run, "a long, b long, size long, lacked binary, beyond binary")
+    return with_sets(ties, sets).mapInArrow(run, "a long, b long, lead_set long, size long, n long, common long, lacked binary, beyond binary")
 
 
 def _block_links(asks: list[dict], members: list[dict]) -> Iterator[tuple[int, int]]:
@@ -341,7 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def across(judged: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between members of one lead that are of different components (see the module's text)."""
-    named = judged.join(labels, judged["b"] == labels["id"], "left").select("a", "b", "n", "common", "linked", F.coalesce("component", "b").alias("component"))
+    named = judged.join(labels, judged["b"] == labels["id"], "left").select("a", "b", "linked", F.coalesce("component", "b").alias("component"))
     leads = judged.select("a").distinct().join(labels, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("of_lead"))
     sizes = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("asking"), F.count("*").alias("members"))
     mixed = sizes.join(leads, "a").where("members > 1 and low <> high")
@@ -354,13 +358,13 @@ def across(judged: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     steps = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_member = F.transform(steps("rows"), lambda i: F.struct(i.alias("i"), col.alias("j"), F.lit(False).alias("asks")))
     as_asking = F.when(~F.col("linked"), F.transform(steps("columns"), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<i:int,j:int,asks:boolean>>"))
-    placed = full.withColumn("at", F.explode(F.concat(as_member, as_asking))).select(F.col("a").alias("lead"), F.col("b").alias("id"), "n", "common", "component", "size", "lacked", "beyond", "at.*")
-    placed = placed.withColumn("group", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(groups)))
+    placed = full.withColumn("at", F.explode(F.concat(as_member, as_asking))).select(F.col("a").alias("lead"), "lead_set", F.col("b").alias("id"), "n", "common", "component", "size", "lacked", "beyond", "at.*")
+    placed = placed.withColumn("group", F.pmod(F.xxhash64("lead", "lead_set", "i", "j"), F.lit(groups)))
 
     def run(rows: pa.Table) -> pa.Table:
         held: dict[tuple, tuple[list, list]] = {}
         for r in rows.to_pylist():
-            held.setdefault((r["lead"], r["i"], r["j"]), ([], []))[0 if r["asks"] else 1].append(r)
+            held.setdefault((r["lead"], r["lead_set"], r["i"], r["j"]), ([], []))[0 if r["asks"] else 1].append(r)
         found = [(min(x, y), max(x, y)) for asks, members in held.values() if asks and members for x, y in _block_links(asks, members)]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
