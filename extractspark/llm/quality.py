@@ -111,7 +111,11 @@ def measured(docs: DataFrame, *kept: Column) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     usual = (F.col("chars") < MIN_CHARS) | (F.col("class_distance") <= MAX_CLASS)
     known = (F.col("n_words") < MIN_COMMON_WORDS) | (F.col("common_distance") <= MAX_COMMON)
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & usual & known)
+    verdict = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & usual & known)
+    # A filter on a plain column would be pushed below the projections, each of which would then be computed anew for
+    # every use. It can't be pushed below what an array of one row is taken apart by.
+    whole = F.struct(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept")
+    return verdict.select(F.explode(F.array(whole)).alias("row")).select("row.*")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -125,10 +129,7 @@ def score(docs: DataFrame) -> DataFrame:
 def filter_kept(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with the input's own columns."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    # A filter on a plain column would be pushed below the projections, each of which would then be computed anew for
-    # every use; below a projection that draws a random number (never negative) it may not go.
-    judged = measured(docs, whole).select("kept_0", "kept", F.rand(0).alias("fence"))
-    return judged.where("fence >= 0 and kept").select("kept_0.*")
+    return measured(docs, whole).where("kept").select("kept_0.*")
 
 
 def score_sql() -> str:
