@@ -39,7 +39,7 @@ CARD = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 IPV4 = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
-ASSIGNED = re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd)|pwd|secret|token|api[_-]?key)["']?\s*[=:]\s*["']?([^\s"']{6,})""")
+ASSIGNED = re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd)|pwd|secret|token|api[_-]?key)["']?\s*[=:]\s*["']?([^\s"']{5,}[^\s"'.,;:!?)\]])""")
 # Forms of address (f, m, or either) and given names by script and gender; the lists of a script have one length.
 ADDRESS = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Dr": "", "Prof": "", "Professor": "", "Doctor": "", "Господин": "m", "Госпожа": "f"}
 GIVEN = {
