@@ -169,12 +169,15 @@ def fields_of(signatures: dict[str, dict]) -> dict[int, list[dict]]:
 _FOUND = pa.schema([("page_id", pa.int64()), ("identifier", pa.string()), ("alias", pa.string()), ("node_id", pa.int32()), ("score", pa.float64()), ("value", pa.string())])
 
 
-def find(pages: DataFrame, store: SignatureStore, identifiers: list[str] | None = None, min_similarity: float = 0.5, weights: dict | None = None, every: bool = False) -> DataFrame:
-    """page_id, identifier, alias, node_id, score, value: the best element for each stored signature of the page's domain."""
+def find(pages: DataFrame, store: SignatureStore, identifiers: list[str] | None = None, min_similarity: float = 0.5, weights: dict | None = None, every: bool = False, domain: str | None = None) -> DataFrame:
+    """page_id, identifier, alias, node_id, score, value: the best element for each stored signature of the page's domain.
+
+    With a domain, its signatures are looked for on all pages.
+    """
     data = store.export_all()
 
     def rows(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
-        known = data.get(domain_of(url), {})
+        known = data.get(domain or domain_of(url), {})
         wanted = {i: p for i, p in known.items() if identifiers is None or i in identifiers}
         root = html.parse(page) if wanted else None
         for identifier, stored in wanted.items():

@@ -101,14 +101,15 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def extract(nodes: DataFrame, fingerprints: list[dict], min_content_score: float = 0.4) -> DataFrame:
     """page_id, fp_key, alias, pos and value: each fingerprint's best group of positions on each page, best first.
 
-    Fingerprints are few (one for each training), so they are broadcast.
+    Fingerprints are few (one for each training): each candidate is taken apart into a row for each, without a join.
     """
-    columns = [x.split()[0] for x in FINGERPRINT.split(", ")]
-    fps = nodes.sparkSession.createDataFrame([[f[c] for c in columns] for f in fingerprints], FINGERPRINT)
-    fps = F.broadcast(fps.select([F.col(c).alias(f"f_{c}") for c in columns]))
+    kinds = dict(x.split(maxsplit=1) for x in FINGERPRINT.split(", "))
+    columns = [c for c in kinds if c != "sample_texts"]
+    each = F.array(*[F.struct(*[F.lit(f[c]).cast(kinds[c]).alias(f"f_{c}") for c in columns]) for f in fingerprints])
     above = lambda back: F.get("chain", F.size("chain") - 1 - back)
     seen = candidates(nodes).select("page_id", "node_id", "name", "text_strip", F.coalesce(above(2)["tag"], F.when(F.size("chain") == 2, F.lit("[document]")), F.lit("")).alias("grand"), F.coalesce(above(1)["tag"], F.lit("[document]")).alias("parent"), F.coalesce(F.array_join(above(1)["cls"], " "), F.lit("")).alias("parent_class"))
-    scored = seen.crossJoin(fps).withColumn("score", score(F.col("text_strip"), {c: F.col(f"f_{c}") for c in columns})).where(F.col("score") >= min_content_score)
+    paired = seen.select("*", F.explode(each).alias("f")).select("*", "f.*").drop("f")
+    scored = paired.withColumn("score", score(F.col("text_strip"), {c: F.col(f"f_{c}") for c in columns})).where(F.col("score") >= min_content_score)
     key = ["page_id", "f_fp_key", "grand", "parent", "parent_class", "name"]
     sizes = scored.groupBy(*key).agg(F.avg("score").alias("mean"), F.count("*").alias("n"), F.min("node_id").alias("first"), F.first("f_count").alias("wanted"))
     sizes = sizes.where((F.col("n") >= 2) | (F.col("wanted") <= 1))

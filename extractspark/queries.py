@@ -174,8 +174,8 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flexible_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    learned = replay.similar(html.nodes(pages.where("page_id < 20"), names=["h1"]), learned_heading(spark, sf_dir))
-    fps = flexible.fingerprint_of(spark, [r["value"] for r in learned.orderBy("page_id").limit(10).collect()])
+    first = html.parse(pages.orderBy("page_id").select("html").first()["html"])  # the training page
+    fps = flexible.fingerprint_of(spark, [e.text().strip() for e in first.walk() if e.name == "h1"])
     nodes = html.nodes(pages).persist()
     return flexible.extract(nodes, fps).select("page_id", "pos", "value", F.round("score", 4).alias("score"))
 
@@ -185,9 +185,9 @@ def adaptive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = pages.orderBy("page_id").first()
     store = SignatureStore()
     wanted = next(e for e in html.parse(first["html"]).walk() if e.name == "h1")
-    for domain in [r["domain"] for r in pages.select(urls.extract_domain(F.col("url")).alias("domain")).distinct().orderBy("domain").limit(1000).collect()]:
-        store.save(domain, "heading", adaptive.signature(wanted, first["url"]))
-    return adaptive.find(pages, store, min_similarity=0.3).select("page_id", "identifier", "node_id", "score", "value")
+    store.save(urls.domain_of(first["url"]), "heading", adaptive.signature(wanted, first["url"]))
+    found = adaptive.find(pages, store, min_similarity=0.3, domain=urls.domain_of(first["url"]))
+    return found.select("page_id", "identifier", "node_id", "score", "value")
 
 
 def similar_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
