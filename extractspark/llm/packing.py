@@ -28,7 +28,7 @@ from .common import column, segments, slices, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1_400_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
