@@ -34,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import column, slices, written
+from .common import column, slices, small_batches, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: Linked if FRACTION[1] * intersection >= FRACTION[0] * union.
 FRACTION = (75, 100)
-#: Members not linked with their lead, and members, in a block of the second round; rows that share a task's group.
-BLOCK = (1000, 4000, 4000)
+#: Members not linked with their lead, and members, in a block of the second round, and the bytes of each; a group's bytes.
+BLOCK, BLOCK_BYTES, GROUP_BYTES = (1000, 4000), (4 << 20, 16 << 20), 8 << 20
 _SEGMENT = 1 << 20
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -323,6 +323,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(described(docs), "described")
     known = rows.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("packed").alias("packed")), "classes")
@@ -345,13 +350,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def across(judged: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between members of one lead that are of different components (see the module's text)."""
-    named = judged.join(labels, judged["b"] == labels["id"], "left").select("a", "b", "linked", F.coalesce("component", "b").alias("component"))
+    named = judged.join(labels, judged["b"] == labels["id"], "left").select("a", "b", "linked", (8 * F.col("n")).alias("bytes"), F.coalesce("component", "b").alias("component"))
     leads = judged.select("a").distinct().join(labels, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("of_lead"))
-    sizes = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("asking"), F.count("*").alias("members"))
+    sizes = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("asking"), F.count("*").alias("members"), F.sum(F.when(F.col("linked"), 0).otherwise(F.col("bytes"))).alias("asking_bytes"), F.sum("bytes").alias("bytes"))
     mixed = sizes.join(leads, "a").where("members > 1 and low <> high")
-    blocks = mixed.select("a", F.ceil(F.col("asking") / BLOCK[0]).cast("int").alias("rows"), F.ceil(F.col("members") / BLOCK[1]).cast("int").alias("columns"))
+    parts = lambda n, k: F.greatest(F.ceil(F.col(n) / BLOCK[k]), F.ceil(F.col("asking_bytes" if n == "asking" else "bytes") / BLOCK_BYTES[k]), F.lit(1)).cast("int")
+    blocks = mixed.select("a", parts("asking", 0).alias("rows"), parts("members", 1).alias("columns"))
     facts = written(named.join(blocks, "a"), "facts")
-    groups = max(64, facts.count() // BLOCK[2])
+    groups = max(64, (facts.agg(F.sum("bytes").alias("n")).first()["n"] or 0) // GROUP_BYTES)
     full = facts.join(deltas(facts, sets), ["a", "b"])
     # Each member goes to its column of blocks; one that asks goes to its row of blocks, too.
     row, col = F.pmod(F.xxhash64("b"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("b", F.lit(1)), F.col("columns")).cast("int")
