@@ -18,6 +18,8 @@ URL = r"https?://"
 CURRENCY = "[$€£¥₹]"
 SKIPPED = ["html", "head", "body", "script", "style", "meta", "link", "br", "hr", "noscript", "iframe", "svg", "path"]
 WEIGHTS = {"length": 0.15, "words": 0.15, "type": 0.30, "digits": 0.15, "currency": 0.15, "letters": 0.10}
+#: Columns of ``nodes`` that flexible extraction reads.
+NEEDED = ["page_id", "node_id", "parent_id", "name", "chain", "child_tags", "text_strip"]
 FINGERPRINT = "fp_key string, alias string, sample_texts array<string>, count bigint, avg_length double, min_length int, max_length int, std_length double, avg_word_count double, min_word_count int, max_word_count int, content_type string, has_currency boolean, avg_digit_ratio double, avg_alpha_ratio double"
 
 

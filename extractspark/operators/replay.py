@@ -18,6 +18,8 @@ from ..sources import html
 from .rules import Rule, replay_exact, replay_grouped, replay_similar, value_of
 
 RULE = "stack_id string, alias string, seq int, path string, levels array<struct<tag:string,cls:array<string>,style:string>>, place int, wanted_attr string, is_full_url boolean, is_non_rec_text boolean, rule_url string"
+#: Columns of ``nodes`` that similar replay reads.
+NEEDED = ["page_id", "url", "node_id", "parent_id", "attrs", "path", "chain", "text_raw", "own_text"]
 ROW = "page_id bigint, stack_id string, alias string, seq int, node_id int, value string"
 _ROW = pa.schema([("page_id", pa.int64()), ("stack_id", pa.string()), ("alias", pa.string()), ("seq", pa.int32()), ("node_id", pa.int32()), ("value", pa.string())])
 

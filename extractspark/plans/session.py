@@ -117,7 +117,7 @@ class Extractor:
     def _rows(self, pages: DataFrame, exactly: bool, attr_fuzz_ratio: float, keep_blank: bool, sibling_leaves: bool = False) -> DataFrame:
         if exactly or attr_fuzz_ratio < 1:
             return replay.in_trees(pages, self.rules, exactly, attr_fuzz_ratio, sibling_leaves, keep_blank)
-        return replay.similar(html.nodes(pages), self.rules, sibling_leaves, keep_blank)
+        return replay.similar(html.nodes(pages, columns=replay.NEEDED), self.rules, sibling_leaves, keep_blank)
 
     def _result(self, page: str | None, url: str | None, pages: DataFrame | None, exactly: bool, grouped: bool, group_by_alias: bool, unique: bool | None, attr_fuzz_ratio: float, keep_blank: bool, keep_order: bool = False, sibling_leaves: bool = False) -> Any:
         table = pages if pages is not None else self.one(page, url)
@@ -156,7 +156,7 @@ class Extractor:
         if not self.fingerprints:
             return self.get_result_similar(html, url, pages)
         table = pages if pages is not None else self.one(html, url)
-        rows = flexible.extract(_persisted(table), self.fingerprints, min_content_score)
+        rows = flexible.extract(_persisted(table, flexible.NEEDED), self.fingerprints, min_content_score)
         rows = rows.select("page_id", F.col("fp_key").alias("stack_id"), "alias", F.lit(0).alias("seq"), F.col("pos").alias("node_id"), "value")
         by = "alias" if group_by_alias else "stack_id" if grouped else None
         out = replay.results(rows, by, True if unique is None else unique)
@@ -290,9 +290,9 @@ def _parse(page: str) -> Element:
     return html.parse(page)
 
 
-def _persisted(pages: DataFrame) -> DataFrame:
+def _persisted(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Elements that more than one branch of a plan reads are computed once."""
-    return html.nodes(pages).persist()
+    return html.nodes(pages, columns=columns).persist()
 
 
 def _plain(out: DataFrame, by: str | None) -> Any:

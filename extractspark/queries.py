@@ -120,12 +120,12 @@ def fuzzy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = html.nodes(table(spark, sf_dir, "pages"), names=["title"])
+    nodes = html.nodes(table(spark, sf_dir, "pages"), names=["title"], columns=["page_id", "text_strip"])
     return nodes.select("page_id", text.compose(F.col("text_strip")).alias("title"))
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = html.nodes(table(spark, sf_dir, "pages"), names=["a"])
+    nodes = html.nodes(table(spark, sf_dir, "pages"), names=["a"], columns=["page_id", "name", "attrs", "text_strip"])
     found = select.find_all(nodes, "a", {"href": True})
     return found.select("page_id", text.compose(select.attribute("href")).alias("href"), text.compose(F.col("text_strip")).alias("label"))
 
@@ -141,12 +141,12 @@ def list_items_css(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.html_lists(html.nodes(table(spark, sf_dir, "pages"), names=["ul", "ol", "li"]))
+    found = detect.html_lists(html.nodes(table(spark, sf_dir, "pages"), names=["ul", "ol", "li"], columns=["page_id", "node_id", "parent_id", "name", "text_strip"]))
     return found.select("page_id", F.col("count").alias("items"), text.compose(F.array_join("texts", "|")).alias("texts"))
 
 
 def h1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"]), learned_heading(spark, sf_dir))
+    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"], columns=replay.NEEDED), learned_heading(spark, sf_dir))
     return rows.select("page_id", text.compose(F.col("value")).alias("heading"))
 
 
@@ -156,7 +156,7 @@ def h1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h1_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"]), learned_heading(spark, sf_dir))
+    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"], columns=replay.NEEDED), learned_heading(spark, sf_dir))
     return replay.results(rows, "alias").select("page_id", "alias", text.compose(F.array_join("values", "|")).alias("headings"))
 
 
@@ -176,7 +176,7 @@ def flexible_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     first = html.parse(pages.orderBy("page_id").select("html").first()["html"])  # the training page
     fps = flexible.fingerprint_of(spark, [e.text().strip() for e in first.walk() if e.name == "h1"])
-    nodes = html.nodes(pages).persist()
+    nodes = html.nodes(pages, columns=flexible.NEEDED).persist()
     return flexible.extract(nodes, fps).select("page_id", "pos", "value", F.round("score", 4).alias("score"))
 
 
@@ -291,7 +291,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         models.save(models.Model(learned), f"{folder}/model.json")
         models.save(models.load(f"{folder}/model.json"), f"{folder}/model.db")
         again = models.load(f"{folder}/model.db").rules
-    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"]), again)
+    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"], columns=replay.NEEDED), again)
     return rows.select("page_id", text.compose(F.col("value")).alias("heading"))
 
 
@@ -301,7 +301,7 @@ def rules_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.set_rule_aliases({session.rules[0].stack_id: "title"})
     session.keep_rules([session.rules[0].stack_id])
     session.remove_rules([])
-    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"]), session.rules)
+    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"], columns=replay.NEEDED), session.rules)
     return rows.groupBy("alias").agg(F.countDistinct("page_id").alias("pages"))
 
 

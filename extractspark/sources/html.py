@@ -230,7 +230,11 @@ def parse(page: str, unescape: bool = True) -> Element:
 
 
 LEVEL = "struct<tag:string,cls:array<string>,style:string,node_id:int>"
-NODE = f"page_id bigint, url string, node_id int, parent_id int, last_desc int, depth int, name string, attrs map<string,array<string>>, cls array<string>, style string, path string, chain array<{LEVEL}>, child_tags array<string>, tag_ord int, text_raw string, text_strip string, own_text string, own_text_sp string, single_string string, shash string"
+COLUMNS = {
+    "page_id": "bigint", "url": "string", "node_id": "int", "parent_id": "int", "last_desc": "int", "depth": "int", "name": "string", "attrs": "map<string,array<string>>",
+    "cls": "array<string>", "style": "string", "path": "string", "chain": f"array<{LEVEL}>", "child_tags": "array<string>", "tag_ord": "int", "text_raw": "string", "text_strip": "string",
+    "own_text": "string", "own_text_sp": "string", "single_string": "string", "shash": "string",
+}
 _LEVEL = pa.struct([("tag", pa.string()), ("cls", pa.list_(pa.string())), ("style", pa.string()), ("node_id", pa.int32())])
 _SCHEMA = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_desc", pa.int32()), ("depth", pa.int32()),
@@ -240,27 +244,35 @@ _SCHEMA = pa.schema([
 ])
 
 
-def _rows(page_id: int | None, url: str | None, root: Element, wanted: Callable[[Element], bool]) -> Iterator[tuple]:
+def _rank(e: Element) -> int:
+    """Place among the siblings of its name; the first of equal ones."""
+    same = [c for c in e.parent.elements if c.name == e.name]
+    mine = e.digest() if len(same) > 1 else b""
+    return next(i for i, c in enumerate(same) if c is e or len(same) > 1 and c.digest() == mine)
+
+
+def _rows(page_id: int | None, url: str | None, root: Element, wanted: Callable[[Element], bool], columns: list[str]) -> Iterator[tuple]:
     order = list(root.walk())
     last = [e.number for e in order]
     for e in reversed(order):
-        if e.parent is not None and e.parent.number >= 0:
+        if e.parent.number >= 0:
             last[e.parent.number] = max(last[e.parent.number], last[e.number])
-    chains: dict[int, list[dict]] = {}
+    chains: dict[int, list[dict]] = {-1: []}
     paths: dict[int, str] = {}
+    made: dict[str, Callable[[Element], object]] = {
+        "page_id": lambda e: page_id, "url": lambda e: url, "node_id": lambda e: e.number, "parent_id": lambda e: e.parent.number, "last_desc": lambda e: last[e.number], "depth": lambda e: paths[e.number].count("/"),
+        "name": lambda e: e.name, "attrs": lambda e: [(k, v if isinstance(v, list) else [v]) for k, v in e.attrs.items()], "cls": Element.classes, "style": Element.style, "path": lambda e: paths[e.number],
+        "chain": lambda e: chains[e.number], "child_tags": lambda e: [c.name for c in e.elements], "tag_ord": _rank, "text_raw": Element.text, "text_strip": Element.tight, "own_text": Element.own,
+        "own_text_sp": Element.own_spaced, "single_string": Element.single, "shash": lambda e: e.digest().hex(),
+    }
+    picked = [made[c] for c in columns]
     for e in order:
         up = e.parent.number
-        level = {"tag": e.name, "cls": e.classes(), "style": e.style(), "node_id": e.number}
-        chain = chains[e.number] = [*chains.get(up, []), level]
-        path = paths[e.number] = f"{paths[up]}/{e.name}" if up >= 0 else e.name
-        if not wanted(e):
-            continue
-        same = [c for c in e.parent.elements if c.name == e.name]
-        mine = e.digest() if len(same) > 1 else b""
-        rank = next(i for i, c in enumerate(same) if c is e or len(same) > 1 and c.digest() == mine)
-        attrs = [(k, v if isinstance(v, list) else [v]) for k, v in e.attrs.items()]
-        yield (page_id, url, e.number, up, last[e.number], len(chain) - 1, e.name, attrs, level["cls"], level["style"], path, chain, [c.name for c in e.elements], rank,
-               e.text(), e.tight(), e.own(), e.own_spaced(), e.single(), e.digest().hex())
+        if "chain" in columns:
+            chains[e.number] = [*chains[up], {"tag": e.name, "cls": e.classes(), "style": e.style(), "node_id": e.number}]
+        paths[e.number] = f"{paths[up]}/{e.name}" if up >= 0 else e.name
+        if wanted(e):
+            yield tuple(get(e) for get in picked)
 
 
 def page_batches(batches: Iterator[pa.RecordBatch], rows_of: Callable, schema: pa.Schema, many: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -286,12 +298,17 @@ def pages_of(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html_column.alias("html"))
 
 
-def nodes(pages: DataFrame, names: list[str] | None = None, unescape: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """A row for each element of each page; only those called names, if given."""
+def nodes(pages: DataFrame, names: list[str] | None = None, columns: list[str] | None = None, unescape: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """A row for each element of each page; only those called names, and only those columns, if given.
+
+    The optimizer can't look into the parser, so a caller that needs few columns says which.
+    """
     keep = frozenset(names) if names else None
     wanted = (lambda e: e.name in keep) if keep else (lambda e: True)
+    chosen = list(COLUMNS) if columns is None else list(columns)
+    schema = pa.schema([_SCHEMA.field(c) for c in chosen])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return page_batches(batches, lambda i, u, h: _rows(i, u, parse(h, unescape), wanted), _SCHEMA)
+        return page_batches(batches, lambda i, u, h: _rows(i, u, parse(h, unescape), wanted, chosen), schema)
 
-    return pages_of(pages, max_bytes).mapInArrow(run, NODE)
+    return pages_of(pages, max_bytes).mapInArrow(run, ", ".join(f"{c} {COLUMNS[c]}" for c in chosen))
