@@ -51,7 +51,8 @@ def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Workers stay between stages: what they remember here is memory that the others lack.
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=60_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -28,7 +28,7 @@ from .common import column, segments, slices, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 800_000, 64
+REMEMBERED, LONGEST = 1_400_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,13 +40,14 @@ class Words(dict):
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
+        self.most = REMEMBERED
 
     def __missing__(self, word: str) -> bytes:
         ids = array("I", self.encoder.encode(word, add_special_tokens=False).ids)
         if ids.itemsize != 4 or sys.byteorder != "little":
             ids = np.asarray(ids, dtype="<u4")
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids.tobytes()
         return ids.tobytes()
@@ -68,13 +69,17 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """A row for each run of at most ``capacity`` ids of each document, its end id included."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
+    """A row for each run of at most ``capacity`` ids of each document, its end id included.
+
+    remembered: words that a worker keeps; fewer take less memory and more time, and the result is the same.
+    """
     ship(docs.sparkSession)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
+        words.most = remembered
         for batch in slices(batches, "text", 4 << 20):
             rows = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
@@ -195,10 +200,10 @@ def plan(counts: list[int], capacity: int) -> tuple[list[tuple[int, int, int, in
     return slots, {"sequences": sequence, "least": -(-total // capacity), "fixed": sum(n for _, n in fixed), "patterns": len(patterns)}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents with their sequence and their place in it."""
     spark = docs.sparkSession
-    table = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    table = written(pieces(docs, tokenizer, capacity, end_id, remembered), "pieces")
     rows = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     slots, _ = plan([rows.get(w, 0) for w in range(capacity + 1)], capacity)
     salts = max(16, sum(rows.values()) // 200_000)
