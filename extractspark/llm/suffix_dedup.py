@@ -39,8 +39,8 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
 #: Bytes of a gram; bytes of texts in a block and for each shard; blocks that make a minimizer hot.
-GRAM, BLOCK, SHARD, HOT = 20, 4 << 20, 16 << 20, 4096
-_WINDOWS = 1 << 20
+GRAM, BLOCK, SHARD, HOT = 20, 4 << 20, 8 << 20, 4096
+_WINDOWS = 1 << 19
 _LOW = np.uint64((1 << 22) - 1)
 _LAST = np.iinfo(np.int64).max
 _SEPARATOR = b"\xff"  # no byte of UTF-8
