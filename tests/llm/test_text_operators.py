@@ -39,6 +39,18 @@ def test_distinct_entities_have_distinct_surrogates(kind, make):
     assert len({made._of(kind, x) for x in originals}) == len(originals)
 
 
+@pytest.mark.parametrize("before,name,after", [
+    ('signed "', "Maria Lopez", '" today'), ("by (", "Dr. Smith", ")"), ("von:", "Peter Huber", ", Wien"), ("[", "Ms Lopez", "]"), ("«", "Госпожа Анна Петрова", "»"), ("a/", "Mr. James\tMiller", ""),
+])
+def test_names_beside_punctuation(before, name, after):
+    made = pii.Surrogates(b"k")
+    text = before + name + after
+    alone, _ = pii.replace(name, made)
+    out, told = pii.replace(text, made)
+    assert [k for k, *_ in told] == ["person"] and out == before + alone + after and alone != name
+    assert pii.replace(f"{text} Mr Brown", made)[0].startswith(out)  # whatever else the text holds
+
+
 def test_permutations_are_permutations():
     cipher = pii.Cipher(b"k")
     for size in (1, 2, 7, 100, 257, 1000):
