@@ -33,10 +33,12 @@ from .common import column, slices
 
 EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 NUMBER = re.compile(r"[+(]?\d[\d .()\-]*\d")
-PHONE = re.compile(r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}")
-CARD = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}")
-SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
-IPV4 = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}")
+# No letter, digit or underscore before the entity, no letter or digit after it; whatever else the run of numbers holds.
+BEFORE, AFTER = r"(?<!\w)", r"(?![^\W_])"
+PHONE = re.compile(rf"{BEFORE}(?:\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}}){AFTER}")
+CARD = re.compile(rf"{BEFORE}(?:\d{{13,19}}|\d{{4}}([ -])\d{{4}}\1\d{{4}}\1\d{{1,7}}|\d{{4}}([ -])\d{{6}}\2\d{{5}}){AFTER}")
+SSN = re.compile(rf"{BEFORE}\d{{3}}-\d{{2}}-\d{{4}}{AFTER}")
+IPV4 = re.compile(rf"{BEFORE}(?<!\d\.)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}{AFTER}(?!\.\d)")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
 ASSIGNED = re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd)|pwd|secret|token|api[_-]?key)["']?\s*[=:]\s*["']?([^\s"']{5,}[^\s"'.,;:!?)\]])""")
 # Forms of address (f, m, or either) and given names by script and gender; the lists of a script have one length.
@@ -242,13 +244,8 @@ def entities(text: str) -> list[tuple[int, int, str, tuple[tuple[int, int, str],
         low, high = run.span()
         if high - low < 7:
             continue
-        if low and (text[low - 1].isalnum() or text[low - 1] == "_") or text[high : high + 1].isalnum():
-            continue
         for pattern, kind in ((PHONE, "phone"), (SSN, "ssn"), (IPV4, "ip"), (CARD, "card")):
-            for m in pattern.finditer(text, low, high):
-                edge = text[max(low, m.start() - 1) : m.start()] + text[m.end() : min(high, m.end() + 1)]
-                if not any(c.isdigit() for c in edge) and not (kind == "ip" and "." in edge):
-                    found.append(whole(m, kind, kind))
+            found += [whole(m, kind, kind) for m in pattern.finditer(text, low, high + 2)]  # what stands after the run counts for its last entity
     for m in NAME.finditer(text):
         at, who = ("named", m["named"]) if m["title"] else ("given", f"{m['given']} {m['family']}")
         spans = [(m.start("given"), m.end("given")), (m.start("family"), m.end("family"))] if at == "given" else [(m.start("named") + p.start(), m.start("named") + p.end()) for p in re.finditer(_PART, who)]

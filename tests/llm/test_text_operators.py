@@ -51,6 +51,22 @@ def test_names_beside_punctuation(before, name, after):
     assert pii.replace(f"{text} Mr Brown", made)[0].startswith(out)  # whatever else the text holds
 
 
+ENTITIES = [("phone", "555-123-4567"), ("phone", "+1 (415) 555-1234"), ("phone", "(415) 555-1234"), ("phone", "+44 20 7946 0958"), ("ssn", "123-45-6789"), ("ip", "97.51.17.173"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111111")]
+
+
+@pytest.mark.parametrize(("kind", "entity"), ENTITIES)
+@pytest.mark.parametrize(("before", "after"), [("", " 2nd floor"), ("Suite B12 ", ""), ("call ", ". 3pm"), ("", " 4th"), ("at ", ". 12 users"), ("no_1 ", " (2x)"), ("", "-2nd")])
+def test_numbers_beside_other_numbers(kind, entity, before, after):
+    out, told = pii.replace(before + entity + after, pii.Surrogates(b"k"))
+    assert [(k, o, at) for k, o, _, at in told] == [(kind, entity, len(before))]
+    assert out == before + told[0][2] + after and told[0][2] != entity
+
+
+@pytest.mark.parametrize("text", ["a555-123-4567", "555-123-4567a", "1555-123-4567", "555-123-45678", "_123-45-6789", "123-45-67890", "1.97.51.17.173", "97.51.17.173.5", "97.51.17.1734", "x97.51.17.173", "a4111111111111111", "4111111111111111b"])
+def test_parts_of_longer_tokens_are_no_numbers(text):
+    assert pii.entities(text) == pii.entities(f"{text} 2nd") == pii.entities(f"B12 {text}") == []
+
+
 def test_permutations_are_permutations():
     cipher = pii.Cipher(b"k")
     for size in (1, 2, 7, 100, 257, 1000):
