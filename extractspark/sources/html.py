@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..deploy import ship
 
 # Elements without content, attributes with several values, elements whose strings have a type of their
-# own, elements that keep white space, and the largest page in bytes.
+# own, elements that keep white space, and the largest page to fetch in bytes.
 VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
 MULTI = {"*": {"accesskey", "class", "dropzone"}, "a": {"rel", "rev"}, "link": {"rel", "rev"}, "td": {"headers"}, "th": {"headers"}, "form": {"accept-charset"}, "object": {"archive"}, "area": {"rel"}, "icon": {"sizes"}, "iframe": {"sandbox"}, "output": {"for"}}
 TYPED = frozenset(["script", "style", "template", "rt", "rp"])
@@ -290,15 +290,14 @@ def page_batches(batches: Iterator[pa.RecordBatch], rows_of: Callable, schema: p
         yield flush(held)
 
 
-def pages_of(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """page_id, url and html; a page beyond max_bytes counts as empty."""
+def pages_of(pages: DataFrame) -> DataFrame:
+    """page_id, url and html. Stored pages of any length are parsed whole; MAX_BYTES bounds what is fetched."""
     ship(pages.sparkSession)
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    html_column = F.when(F.octet_length("html") <= max_bytes, F.col("html").cast("string"))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html_column.alias("html"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"))
 
 
-def nodes(pages: DataFrame, names: list[str] | None = None, columns: list[str] | None = None, unescape: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
+def nodes(pages: DataFrame, names: list[str] | None = None, columns: list[str] | None = None, unescape: bool = True) -> DataFrame:
     """A row for each element of each page; only those called names, and only those columns, if given.
 
     The optimizer can't look into the parser, so a caller that needs few columns says which.
@@ -311,4 +310,4 @@ def nodes(pages: DataFrame, names: list[str] | None = None, columns: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return page_batches(batches, lambda i, u, h: _rows(i, u, parse(h, unescape), wanted, chosen), schema)
 
-    return pages_of(pages, max_bytes).mapInArrow(run, ", ".join(f"{c} {COLUMNS[c]}" for c in chosen))
+    return pages_of(pages).mapInArrow(run, ", ".join(f"{c} {COLUMNS[c]}" for c in chosen))

@@ -123,6 +123,21 @@ def test_aliases_grouping_and_rule_management(session):
     assert session.rules == [] and session.get_result_similar(NEW) == []
 
 
+def test_stored_pages_beyond_the_cap_on_fetching_are_read_whole(spark, session):
+    page = NEW.replace("</body>", "<p>" + "word " * (html.MAX_BYTES // 5) + "</p><nav><a href=/end>End</a></nav></body>")
+    assert len(page) > html.MAX_BYTES
+    assert session.build(page, ["Title B"]) == ["Fresh A", "Title B", "Title C"]
+    pages = table(spark, NEW, page)
+    assert session.get_result_similar(page) == ["Fresh A", "Title B", "Title C"]
+    for rows in (session.get_result_similar(pages=pages), session.get_result_exact(pages=pages)):
+        short, long = (r["values"] for r in rows.orderBy("page_id").collect())
+        assert short == long
+    links = html.nodes(pages, names=["a"], columns=["page_id", "text_strip"]).collect()
+    assert [r["text_strip"] for r in links if r["page_id"] == 1] == ["Read"] * 3 + ["End"]
+    cards = detect.detect_cards(pages).groupBy("page_id").count().collect()
+    assert len(cards) == 2 and cards[0]["count"] == cards[1]["count"]
+
+
 def test_no_targets(session):
     for wrong in ([], None):
         with pytest.raises(ValueError, match="targets"):
