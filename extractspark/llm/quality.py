@@ -5,6 +5,9 @@ Jensen-Shannon distance (base 2: 0 equal, 1 disjoint). Short documents say littl
 which it passes. Before that, two plain rules: at least 50 words, and at most half of the words in repeated three-word
 windows. All of it is one projection over whole texts; rows never meet, so nothing is shuffled.
 
+The least lengths let short junk through: of sf0.1's labelled documents that pass the plain rules, 47 of 291 labelled 0
+are kept, all of 250 to 799 characters (README).
+
 Words are runs without ASCII white space. Windows are told apart by 64-bit hashes; they are sorted with their positions
 as single longs, and neighbours are compared by the full hash.
 
