@@ -65,8 +65,12 @@ class Index:
         rare = lambda w: (self.idf[w], w)
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
-            # Each template is found by its two rarest words: one may be missing in a worn notice.
-            for word in sorted(set(words), key=rare)[-2:]:
+            # The rarest words, until those left out weigh less than the share: no notice at the share is without all of these.
+            left, enough = sum(self.idf[w] for w in words), self.share * sum(self.idf[w] for w in words) * (1 - 1e-9)
+            for word in sorted(set(words), key=rare, reverse=True):
+                if left < enough:
+                    break
+                left -= self.idf[word] * words.count(word)
                 self.postings.setdefault(word, []).extend((t, k) for k, w in enumerate(words) if w == word)
         self.base_anchor = [max(range(len(words)), key=lambda k: rare(words[k])) for words, _ in self.base]
         self.wanted = set(self.postings) | {words[k] for (words, _), k in zip(self.base, self.base_anchor, strict=True)}

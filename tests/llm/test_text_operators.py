@@ -218,3 +218,23 @@ def test_base_phrases_against_brute_force(spark, odd_docs, some_docs, no_docs):
 def test_notices(spark, text, labels):
     docs = spark.createDataFrame([(1, text), (2, "the version of a license under the law to use and copy"), (3, "plain")], "doc_id long, text string")
     assert licenses.digest(licenses.scan(docs)).where("doc_id = 1").first()["labels"] == labels
+
+
+def test_every_notice_at_the_share_is_found():
+    rng = random.Random(3)
+    for _ in range(40):
+        index = licenses.Index({w: rng.randrange(1000) for w in licenses.Index({}, 0).idf}, 1000)
+        for label, text, _ in licenses.TEMPLATES:
+            words = text.encode().split()
+            kept = [b"changed" if rng.random() < 0.25 else w for w in words]
+            notice = [b"before", *kept, b"after"]
+            reached = [t for t, (name, _, keys) in enumerate(licenses.TEMPLATES) if name == label and any(
+                sum(index.idf[w] for w, x in zip(index.words[t], notice[k:], strict=False) if w == x) >= 0.7 * sum(index.idf[w] for w in index.words[t])
+                and all(f" {key} ".encode() in b" " + b" ".join(notice[k : k + len(index.words[t])]) + b" " for key in keys) for k in range(len(notice)))]
+            assert (label in index.scan(notice)[1]) >= bool(reached)
+
+
+def test_notice_without_its_two_rarest_words():
+    words = licenses.TEMPLATES[2][1].encode().split()
+    index = licenses.Index({w: 100 if w in (b"use", b"without") else 200 for w in licenses.Index({}, 0).idf}, 1000)
+    assert "bsd" in index.scan([b"x" if w in (b"use", b"without") else w for w in words])[1]
