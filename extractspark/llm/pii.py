@@ -122,6 +122,11 @@ class Cipher:
         return "".join(result)
 
 
+def _listed(name: str) -> str | None:
+    """The given name of the lists that this is, as it stands there or in capitals."""
+    return name if name in LISTED else name.capitalize() if name.isupper() and name.capitalize() in LISTED else None
+
+
 def _put_digits(text: str, digits: str) -> str:
     left = iter(digits)
     return "".join(next(left) if c.isdigit() else c for c in text)
@@ -210,7 +215,13 @@ class Surrogates:
         return self._family(text)
 
     def _family(self, text: str) -> str:
-        """Vowels stay vowels and consonants consonants; the last letter, accents and marks stay as they are."""
+        """Vowels stay vowels and consonants consonants; the last letter, accents and marks stay as they are.
+
+        Listed given names that are surnames change places among themselves, as no other surname becomes one of them.
+        """
+        if listed := _listed(text):
+            made = self._given(listed)
+            return made if text == listed else made.upper()
         script = "cyrillic" if re.search("[Ѐ-ӿ]", text) else "latin"
         vowels, consonants = ALPHABETS[script]
         places = [i for i, c in enumerate(text) if c.lower() in vowels + consonants]
@@ -226,7 +237,7 @@ class Surrogates:
             for i, c in zip(places, out, strict=True):
                 made[i] = c.upper() if text[i].isupper() else c
             name = "".join(made)
-            if name.capitalize() not in LISTED:
+            if not _listed(name):
                 return name
 
 

@@ -67,6 +67,28 @@ def test_parts_of_longer_tokens_are_no_numbers(text):
     assert pii.entities(text) == pii.entities(f"{text} 2nd") == pii.entities(f"B12 {text}") == []
 
 
+@pytest.mark.parametrize("case", [str, str.upper])
+def test_listed_surnames_have_surrogates_of_their_own(case):
+    from itertools import product
+
+    made = pii.Surrogates(b"k")
+    vowels, consonants = pii.ALPHABETS["latin"]
+    others = {"".join(x).capitalize() for x in product(consonants, vowels, consonants, vowels, "s")}  # of the pattern of James
+    names = {case(x) for x in others | pii.LISTED.keys()}
+    out = {x: made._of("family", x) for x in names}
+    assert len(set(out.values())) == len(names) and all(x != y for x, y in out.items() if x.capitalize() in pii.LISTED)
+    assert {out[case(x)] for x in pii.LISTED} == {case(x) for x in pii.LISTED}
+
+
+def test_no_collisions_among_the_query_s_entities(spark):
+    from extractspark.llm import queries
+
+    found = queries.op1_pii(spark, "/root/testdata/sf0.01").select(F.explode("entities").alias("e")).select("e.*")
+    more = "Mr James, Peter Thomas, Ms Grace, MS GRACE, Dr. James Grace, Mr Names, Ms Brace"
+    told = spark.createDataFrame(pii.replace(more, pii.Surrogates(queries.PII_KEY))[1], "type string, original string, surrogate string, start int")
+    assert found.count() > 0 and pii.collisions(found.unionByName(told)).where("why = 'doubled'").isEmpty()
+
+
 def test_permutations_are_permutations():
     cipher = pii.Cipher(b"k")
     for size in (1, 2, 7, 100, 257, 1000):
