@@ -32,9 +32,10 @@ from ..deploy import ship
 from .common import column, slices
 from .toxicity import logistic
 
-# HTML's void elements, raw-text elements, block elements and those whose end an opening tag implies.
+# HTML's void elements, raw-text elements, those whose content is no text, block elements and those whose end an opening tag implies.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea select button canvas video audio title".split())
+RAW = frozenset("script style textarea title iframe".split())
+MUTE = frozenset("noscript template svg math object select button canvas video audio".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
@@ -58,11 +59,25 @@ class Node:
         self.words = self.linked = self.sentences = 0
 
 
+def _in_drawing(node: Node) -> bool:
+    while node.parent is not None and node.tag not in ("svg", "math"):
+        node = node.parent
+    return node.parent is not None
+
+
+def _silent(node: Node) -> bool:
+    """An element of MUTE that its own end tag didn't end: what stands in it directly is no text, the elements in it are read."""
+    while node.tag in ("option", "optgroup"):
+        node = node.parent
+    return node.tag in MUTE and node.attrs[-1:] != "/"
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements in document order, the first a root, and the runs of text (index of the nearest element, text)."""
     nodes = [Node("#root", None, 0, "")]
     texts: list[tuple[int, str]] = []
     here, at, end = nodes[0], 0, len(page)
+    before: dict[int, int] = {}  # for each open element of MUTE the runs before it
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
             texts.append((here.index, page[at : m.start()]))
@@ -76,19 +91,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node = node.parent
             if node.parent is not None:
                 here = node.parent
+                if tag in MUTE:  # its own end tag: nothing in it is text
+                    here.children.pop()
+                    del nodes[node.index :], texts[before[node.index] :]
+                    continue
             elif tag in ("p", "br"):
                 texts.append((here.index, "\0"))
             texts.append((here.index, "\0" if tag in BLOCK else ""))
             continue
         if tag in PARAGRAPH_ENDS:
             node = here
-            while node.parent is not None and node.tag not in ("p", "button", "td", "th", "table", "#root"):
+            while node.parent is not None and node.tag not in ("p", "td", "th", "table", "#root") and node.tag not in MUTE:
                 node = node.parent
             if node.tag == "p":
                 here = node.parent
         if tag in CLOSES:
             node, cut = here, None
-            while node.parent is not None and node.tag not in FENCES[tag]:
+            while node.parent is not None and node.tag not in FENCES[tag] and node.tag not in MUTE:
                 if node.tag in CLOSES[tag]:
                     cut = node
                 node = node.parent
@@ -98,18 +117,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             texts.append((here.index, "\0"))
         if tag in VOID:
             continue
+        if m[3][-1:] == "/" and (tag in ("svg", "math") or _in_drawing(here)):
+            continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if m[3][-1:] != "/" or tag not in ("svg", "math") else None
-            at = close.end() if close else at if m[3][-1:] == "/" and tag in ("svg", "math") else end
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = close.end() if close else end
             continue
         node = Node(tag, here, len(nodes), m[3])
         here.children.append(node)
         nodes.append(node)
+        if tag in MUTE:
+            before[node.index] = len(texts)
         if m[3][-1:] != "/" or tag not in ("path", "rect", "circle"):
             here = node
     if at < end:
         texts.append((here.index, page[at:]))
-    texts = [(i, entities.unescape(t) if "&" in t else t) for i, t in texts if t]
+    texts = [(i, entities.unescape(t) if "&" in t else t) for i, t in texts if t and (t == "\0" or not _silent(nodes[i]))]
     for i, t in texts:
         if t == "\0":
             continue

@@ -196,6 +196,20 @@ def test_main_text_of_odd_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and {r["text"] for r in got if r["page_id"] in (2, 3)} == {""}
 
 
+@pytest.mark.parametrize("tag", sorted(html_mrf.MUTE))
+def test_unclosed_elements_do_not_take_the_article(tag):
+    model, text = html_mrf.train(), "Head line First sentence of the text. Second one."
+    article = "<article><h1>Head line</h1><p>First sentence of the text.</p><p>Second one.</p></article>"
+    for start in (f"<{tag}>", f"<{tag} data=x />", f"<{tag} />x</{tag}>", f"<div><{tag}>Menu</div>", f"<{tag}>no<{tag}>no</{tag}>", f"<{tag}><p>No.<b>No</p></{tag}>"):
+        assert html_mrf.extract(f"<html><body>{start}{article}<{tag}><p>No text.</p></{tag}></body></html>", model) == text, start
+    assert html_mrf.extract(f"<html><body>{article.replace('of', f'o<{tag}><p>No</p><li>No</{tag}>f')}</body></html>", model) == text
+
+
+def test_what_drawings_close_themselves():
+    page = "<html><body><article><h1>Head line</h1><p>First sentence of the text.</p><svg><script href=x /><g/><title/></svg><p>Second one.</p></article></body></html>"
+    assert html_mrf.extract(page, html_mrf.train()) == "Head line First sentence of the text. Second one."
+
+
 # Toxicity
 
 
