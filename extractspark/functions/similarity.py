@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from typing import Any
 
@@ -17,10 +18,25 @@ WEIGHTS = {"tag_name": 0.15, "attributes": 0.20, "text": 0.15, "path": 0.10, "pa
 SPECIAL = ["class", "id", "href", "src", "data-id", "name"]
 
 
+Like = Callable[[Any, Any], float]
+
+
 def ratio(a: Any, b: Any) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def bound(a: Any, b: Any) -> float:
+    """At least ratio(a, b): by the letters that both have, whatever their order."""
+    total = len(a) + len(b)
+    return 2.0 * (Counter(a) & Counter(b)).total() / total if total else 1.0
+
+
+def reaches(a: str, b: str, limit: float) -> bool:
+    """Whether ratio(a, b) is at least limit; the bounds by length and by letters come first."""
+    total = len(a) + len(b)
+    return not total or (2.0 * min(len(a), len(b)) / total >= limit and bound(a, b) >= limit and ratio(a, b) >= limit)
+
+
 def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -38,7 +54,7 @@ def fuzzy_match(a: str | None, b: str | None, limit: float = 0.8) -> bool:
     if not a or not b:
         return False
     x, y = plain(a), plain(b)
-    return x == y or x in y or y in x or ratio(x, y) >= limit
+    return x == y or x in y or y in x or reaches(x, y, limit)
 
 
 def _either(a: Any, b: Any, one_missing: float) -> float | None:
@@ -52,23 +68,23 @@ def _value(v: Any) -> str:
     return " ".join(sorted(map(str, v))) if isinstance(v, (list, tuple)) and len(v) != 1 else str(v[0]) if isinstance(v, (list, tuple)) else str(v or "")
 
 
-def text_score(a: str, b: str) -> float:
+def text_score(a: str, b: str, like: Like = ratio) -> float:
     known = _either(a, b, 0.0)
-    return ratio(plain(a), plain(b)) if known is None else known
+    return like(plain(a), plain(b)) if known is None else known
 
 
-def attribute_score(a: dict, b: dict) -> float:
+def attribute_score(a: dict, b: dict, like: Like = ratio) -> float:
     known = _either(a, b, 0.3)
     if known is not None:
         return known
     keys, total = a.keys() | b.keys(), 0.0
     for k in keys:
         x, y = _value(a.get(k)), _value(b.get(k))
-        total += 1.0 if x == y else ratio(x, y) if x and y else 0.0
+        total += 1.0 if x == y else like(x, y) if x and y else 0.0
     return total / len(keys)
 
 
-def path_score(a: str, b: str) -> float:
+def path_score(a: str, b: str, like: Like = ratio) -> float:
     known = _either(a, b, 0.0)
     if known is not None:
         return known
@@ -76,38 +92,38 @@ def path_score(a: str, b: str) -> float:
     shorter, tail = min(len(x), len(y)), 0
     while tail < shorter and x[-1 - tail] == y[-1 - tail]:
         tail += 1
-    return 0.4 * ratio(x, y) + 0.6 * tail / shorter
+    return 0.4 * like(x, y) + 0.6 * tail / shorter
 
 
-def special_score(a: dict, b: dict) -> float:
+def special_score(a: dict, b: dict, like: Like = ratio) -> float:
     pairs = [(x, y) for k in SPECIAL if (x := _value(a.get(k))) or _value(b.get(k)) for y in [_value(b.get(k))]]
-    return sum(1.0 if x == y else ratio(x, y) if x and y else 0.0 for x, y in pairs) / len(pairs) if pairs else 1.0
+    return sum(1.0 if x == y else like(x, y) if x and y else 0.0 for x, y in pairs) / len(pairs) if pairs else 1.0
 
 
-def ancestor_score(a: dict, b: dict, which: str) -> float:
+def ancestor_score(a: dict, b: dict, which: str, like: Like = ratio) -> float:
     name, attribs, text = f"{which}_name", f"{which}_attribs", f"{which}_text"
     known = _either(a.get(name), b.get(name), 0.3)
     if known is not None:
         return known
-    scores = [float(a[name] == b[name]), attribute_score(a.get(attribs) or {}, b.get(attribs) or {})]
+    scores = [float(a[name] == b[name]), attribute_score(a.get(attribs) or {}, b.get(attribs) or {}, like)]
     if a.get(text) or b.get(text):
-        scores.append(text_score(a.get(text) or "", b.get(text) or ""))
+        scores.append(text_score(a.get(text) or "", b.get(text) or "", like))
     return sum(scores) / len(scores)
 
 
-def signature_score(a: dict, b: dict, weights: dict[str, float] | None = None) -> float:
-    """Weighted mean of the parts' scores, rounded to four places."""
+def signature_score(a: dict, b: dict, weights: dict[str, float] | None = None, like: Like = ratio) -> float:
+    """Weighted mean of the parts' scores, rounded to four places; with ``bound`` for like, no less than it."""
     w = weights or WEIGHTS
     children = _either(a.get("children_tags"), b.get("children_tags"), 0.3)
     scores = {
         "tag_name": float(a.get("tag_name") == b.get("tag_name")),
-        "attributes": attribute_score(a.get("attributes") or {}, b.get("attributes") or {}),
-        "text": text_score(a.get("text") or "", b.get("text") or ""),
-        "path": path_score(a.get("path") or "", b.get("path") or ""),
-        "parent": ancestor_score(a, b, "parent"),
-        "grandparent": ancestor_score({**a, "grandparent_text": ""}, {**b, "grandparent_text": ""}, "grandparent"),
-        "children": ratio(list(a["children_tags"]), list(b["children_tags"])) if children is None else children,
-        "special_attrs": special_score(a.get("attributes") or {}, b.get("attributes") or {}),
+        "attributes": attribute_score(a.get("attributes") or {}, b.get("attributes") or {}, like),
+        "text": text_score(a.get("text") or "", b.get("text") or "", like),
+        "path": path_score(a.get("path") or "", b.get("path") or "", like),
+        "parent": ancestor_score(a, b, "parent", like),
+        "grandparent": ancestor_score({**a, "grandparent_text": ""}, {**b, "grandparent_text": ""}, "grandparent", like),
+        "children": like(list(a["children_tags"]), list(b["children_tags"])) if children is None else children,
+        "special_attrs": special_score(a.get("attributes") or {}, b.get("attributes") or {}, like),
     }
     total = sum(w[k] for k in scores)
     return round(sum(s * w[k] for k, s in scores.items()) / total, 4) if total else 0.0
@@ -127,8 +143,17 @@ def text_ratio(a: Column, b: Column) -> Column:
 
 
 def text_like(a: Column, b: Column, limit: float = 0.8) -> Column:
-    """fuzzy_match of two columns."""
+    """fuzzy_match of two columns; what holds the other, or is too unlike in length, never leaves the JVM."""
+    ship_active()
     squeeze = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
     x, y = squeeze(a), squeeze(b)
+
+    @F.pandas_udf("boolean")
+    def near(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for s, t in pairs:
+            yield pd.Series([u is not None and v is not None and reaches(u, v, limit) for u, v in zip(s, t, strict=True)], dtype=bool)
+
     filled = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
-    return filled & (F.contains(x, y) | F.contains(y, x) | (text_ratio(a, b) >= limit))
+    lengths = F.length(x) + F.length(y)
+    close = 2 * F.least(F.length(x), F.length(y)) >= lengths * limit
+    return F.when(~filled, F.lit(False)).when(F.contains(x, y) | F.contains(y, x), F.lit(True)).when(close, near(x, y)).otherwise(F.lit(False))

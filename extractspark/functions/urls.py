@@ -36,9 +36,15 @@ def _join(bases: pd.Series, links: pd.Series) -> pd.Series:
     return pd.Series([None if link is None else urljoin(base or "", link) for base, link in zip(bases, links, strict=True)], dtype=object)
 
 
+#: A plain address: a scheme, a host of ASCII letters and perhaps a port, and what follows without spaces.
+PLAIN = r"^[A-Za-z][A-Za-z0-9+.-]*://([A-Za-z0-9._-]+)(?::[0-9]*)?(?:[/?#][\x21-\x7e]*)?$"
+
+
 def extract_domain(url: Column) -> Column:
+    """domain_of; plain addresses never leave the JVM."""
     ship_active()
-    return _domain(F.coalesce(url, F.lit("")))
+    host = F.regexp_replace(F.regexp_extract(url, PLAIN, 1), r"www\.", "")
+    return F.when(F.coalesce(url, F.lit("")) == "", F.lit("default")).when(url.rlike(PLAIN) & (host != ""), host).otherwise(_domain(F.coalesce(url, F.lit(""))))
 
 
 def resolve(base: Column, link: Column) -> Column:

@@ -9,13 +9,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.similarity import signature_score
+from ..functions.similarity import bound, signature_score
 from ..functions.urls import domain_of
 from ..sources import html
 from ..sources.html import DOCUMENT, Element
@@ -34,11 +34,10 @@ def signature(e: Element, url: str = "") -> dict[str, Any]:
     up = e.parent if e.parent is not None and e.parent.name != DOCUMENT else None
     above = up.parent if up is not None and up.parent.name != DOCUMENT else None
     chain = e.path()
-    peers = [c for c in e.parent.elements if c.name == e.name] if e.parent is not None else [e]
     text, path = e.tight(), "/".join(x.name for x in chain)
     return {
         "tag_name": e.name, "attributes": dict(e.attrs), "text": text[: LIMITS["text"]], "direct_text": e.own_spaced()[: LIMITS["direct_text"]],
-        "path": path, "depth": len(chain) - 1, "sibling_index": next(i for i, c in enumerate(peers) if c is e or c.digest() == e.digest()),
+        "path": path, "depth": len(chain) - 1, "sibling_index": e.rank(),
         "parent_name": up.name if up else None, "parent_attribs": dict(up.attrs) if up else {}, "parent_text": up.own_spaced()[: LIMITS["parent_text"]] if up else "",
         "grandparent_name": above.name if above else None, "grandparent_attribs": dict(above.attrs) if above else {},
         "children_tags": [c.name for c in e.elements][: LIMITS["children_tags"]], "children_count": len(e.elements), "url": url,
@@ -86,7 +85,12 @@ class SignatureStore:
 def best_matches(root: Element, wanted: dict, least: float = 0.5, url: str = "", weights: dict | None = None, among: list[Element] | None = None) -> list[tuple[Element, float]]:
     """Elements (of the wanted tag, or among the given ones) at least that similar, the most similar first."""
     pool = [e for e in root.walk() if e.name == wanted.get("tag_name")] if among is None else among
-    scored = [(e, signature_score(wanted, signature(e, url), weights)) for e in pool]
+    scored = []
+    for e in pool:
+        own = signature(e, url)
+        # The full comparison takes time by the product of the texts' lengths; its bound doesn't.
+        if signature_score(wanted, own, weights, bound) >= least:
+            scored.append((e, signature_score(wanted, own, weights)))
     return sorted(((e, s) for e, s in scored if s >= least), key=lambda x: -x[1])
 
 
@@ -169,6 +173,29 @@ def fields_of(signatures: dict[str, dict]) -> dict[int, list[dict]]:
 _FOUND = pa.schema([("page_id", pa.int64()), ("identifier", pa.string()), ("alias", pa.string()), ("node_id", pa.int32()), ("score", pa.float64()), ("value", pa.string())])
 
 
+def items_of(store: SignatureStore) -> Callable[[str | None, Element], list[list[str]]]:
+    """The items of a page by the fields stored for its domain, or for none."""
+    data = store.export_all()
+
+    def items(url: str | None, root: Element) -> list[list[str]]:
+        fields = fields_of(data.get(domain_of(url)) or data.get("default", {}))
+        return items_by_fields(root, fields) if fields else []
+
+    return items
+
+
+def fallback(store: SignatureStore, min_similarity: float = 0.5, weights: dict | None = None) -> Callable[[int | None, str | None, Element], Iterator[tuple]]:
+    """Rows like those of rules (see replay) for pages where no rule finds anything: the best element of each signature."""
+    data = store.export_all()
+
+    def rows(page_id: int | None, url: str | None, root: Element) -> Iterator[tuple]:
+        for identifier, stored in data.get(domain_of(url), {}).items():
+            for e, _ in best_matches(root, stored, min_similarity, url or "", weights)[:1]:
+                yield page_id, identifier, stored.get("alias") or "", 0, e.number, e.text().strip()
+
+    return rows
+
+
 def find(pages: DataFrame, store: SignatureStore, identifiers: list[str] | None = None, min_similarity: float = 0.5, weights: dict | None = None, every: bool = False, domain: str | None = None) -> DataFrame:
     """page_id, identifier, alias, node_id, score, value: the best element for each stored signature of the page's domain.
 
@@ -209,12 +236,11 @@ def find_similar(pages: DataFrame, tag: str, threshold: float = 0.6) -> DataFram
 
 def grouped(pages: DataFrame, store: SignatureStore) -> DataFrame:
     """page_id, pos and item, by the fields stored for the page's domain, or for none."""
-    data = store.export_all()
     schema = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("item", pa.list_(pa.string()))])
+    items = items_of(store)
 
     def rows(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
-        fields = fields_of(data.get(domain_of(url)) or data.get("default", {}))
-        for i, item in enumerate(items_by_fields(html.parse(page), fields) if fields else ()):
+        for i, item in enumerate(items(url, html.parse(page))):
             yield page_id, i, item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

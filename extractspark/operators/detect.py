@@ -6,6 +6,7 @@ exist as plain DataFrame code over ``nodes`` (html_lists, meta_tags, json_ld).
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections import Counter
@@ -31,10 +32,15 @@ NEXT = ["next", "следующая", "次", "下一页", "›", "»", "→", "m
 PREV = ["prev", "previous", "предыдущая", "前", "上一页", "‹", "«", "←", "back"]
 
 
+@functools.cache
+def _pattern(word: str) -> re.Pattern:
+    return re.compile(word, re.I)
+
+
 def classed(e: Element, word: str) -> bool:
     """Whether a class, or all of them as one string, holds the word in any case."""
-    found = re.compile(word, re.I)
-    return any(found.search(c) for c in (*e.classes(), " ".join(e.classes())) if c)
+    classes = e.classes()
+    return bool(classes) and _pattern(word).search(" ".join(classes)) is not None
 
 
 def value(e: Element, name: str) -> str:
@@ -70,26 +76,37 @@ def lists(root: Element, least: int = 3) -> list[dict]:
 
 def repeated(root: Element, least: int = 3) -> list[dict]:
     """For each parent, its first tag with enough children of one structure: those children."""
-    out, done = [], set()
-    for e in root.walk():
-        if e.parent.number in done:
-            continue
-        alike = [c for c in e.parent.elements if c.name == e.name]
-        kind, many = Counter(map(structure, alike)).most_common(1)[0]
-        if many >= least:
-            done.add(e.parent.number)
-            out.append({"type": "repeated_pattern", "tag": e.name, "node_id": e.parent.number, "count": many, "texts": [c.tight() for c in alike if structure(c) == kind]})
-    return out
+    out = []
+    for up in (root, *root.walk()):
+        kinds: dict[str, list[tuple[Element, str]]] = {}
+        own = up.elements
+        many = Counter(c.name for c in own)
+        for c in own:
+            if many[c.name] >= least:
+                kinds.setdefault(c.name, []).append((c, structure(c)))
+        for name, alike in kinds.items():
+            kind, count = Counter(k for _, k in alike).most_common(1)[0]
+            if count >= least:
+                out.append((alike[0][0].number, {"type": "repeated_pattern", "tag": name, "node_id": up.number, "count": count, "texts": [c.tight() for c, k in alike if k == kind]}))
+                break
+    return [x for _, x in sorted(out, key=lambda o: o[0])]  # in the order of their first elements
 
 
 def cards(root: Element, least: int = 3) -> list[dict]:
     """For each word that marks cards, the groups of one structure among the elements it marks."""
-    out = []
-    for word in CARDS:
-        marked = [e for e in root.walk() if classed(e, word)]
+    marked: dict[str, list[Element]] = {word: [] for word in CARDS}
+    for e in root.walk():
+        if "class" in e.attrs:
+            for word in CARDS:
+                if classed(e, word):
+                    marked[word].append(e)
+    out, shapes = [], {}
+    for word, those in marked.items():
         kinds: dict[str, list[Element]] = {}
-        for e in marked if len(marked) >= least else ():
-            kinds.setdefault(structure(e), []).append(e)
+        for e in those if len(those) >= least else ():
+            if e.number not in shapes:
+                shapes[e.number] = structure(e)
+            kinds.setdefault(shapes[e.number], []).append(e)
         out += [{"type": "card", "indicator": word, "count": len(g), "node_ids": [e.number for e in g], "sample_fields": card_fields(g[0])} for g in kinds.values() if len(g) >= least]
     return out
 
@@ -321,12 +338,40 @@ def page_text(pages: DataFrame) -> DataFrame:
     return over_pages(pages, "text string", lambda r, _: iter([(r.text(),)]))
 
 
+def found_in_text(pages: DataFrame, pattern: str, flags: int = 0) -> DataFrame:
+    """page_id, pos, groups: what the pattern finds in each page's text; the groups, or the whole match if there are none."""
+    found = re.compile(pattern, flags)
+    return over_pages(pages, "pos int, groups array<string>", lambda r, _: ((i, list(m.groups("")) or [m[0]]) for i, m in enumerate(found.finditer(r.text()))))
+
+
+def named_in_text(pages: DataFrame, pattern: str, flags: int = 0) -> DataFrame:
+    """page_id, pos, groups: the named groups of each match in each page's text, as a map."""
+    found = re.compile(pattern, flags)
+    return over_pages(pages, "pos int, groups map<string,string>", lambda r, _: ((i, list(m.groupdict().items())) for i, m in enumerate(found.finditer(r.text()))))
+
+
+def patterns_of(root: Element, least: int = 3) -> dict:
+    return {"lists": lists(root, least), "tables": simple_tables(root), "cards": cards(root, least)}
+
+
+def structured_of(root: Element) -> dict:
+    return {"json_ld": json_ld_of(root), "meta_tags": meta_of(root), "microdata": microdata_of(root)}
+
+
+def auto_detect(pages: DataFrame, min_items: int = 3) -> DataFrame:
+    """page_id and the patterns of each page as JSON."""
+    return over_pages(pages, "patterns string", lambda r, _: iter([(json.dumps(patterns_of(r, min_items), ensure_ascii=False),)]))
+
+
+def extract_structured(pages: DataFrame) -> DataFrame:
+    """page_id and the structured data of each page as JSON."""
+    return over_pages(pages, "structured_data string", lambda r, _: iter([(json.dumps(structured_of(r), ensure_ascii=False),)]))
+
+
 def smart_extract(pages: DataFrame, min_items: int = 3) -> DataFrame:
     """One row a page: typed values, lists, tables, cards, structured data (as JSON) and pagination, from one parse."""
     def rows(root: Element, url: str | None) -> Iterator[tuple]:
-        found = {"lists": lists(root, min_items), "tables": simple_tables(root), "cards": cards(root, min_items)}
-        data = {"json_ld": json_ld_of(root), "meta_tags": meta_of(root), "microdata": microdata_of(root)}
-        yield root.text(), json.dumps(found, ensure_ascii=False), json.dumps(data, ensure_ascii=False), tuple(pagination(root, url).values())
+        yield root.text(), json.dumps(patterns_of(root, min_items), ensure_ascii=False), json.dumps(structured_of(root), ensure_ascii=False), tuple(pagination(root, url).values())
 
     made = over_pages(pages, f"text string, patterns string, structured_data string, pagination struct<{PAGINATION.replace('`', '').replace(' string', ':string').replace(' int', ':int').replace('pages array', 'pages:array')}>", rows)
     return made.select("page_id", typed.extract_all(F.col("text")).alias("data_types"), "patterns", "structured_data", "pagination")

@@ -1,16 +1,27 @@
 """Extraction across templates by the shape of content: fingerprints, scores, and the best group of alike positions.
 
-All of it is DataFrame code over ``nodes``: an aggregate, one scoring expression, a grouping and two windows.
+The fingerprint of a table's texts is an aggregate (``fingerprint``), that of a few learned values is taken where they are
+(``fingerprint_of``); both have the same figures. Scoring and the choice of a group concern one page, so they are made in
+the parsing pass: no element leaves it but those that are chosen.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import html
+from ..sources.html import Element
+
 # The patterns of content types, currency signs, elements that hold no content, and the score's weights.
 PRICE = r"[$€£¥₹]\s*[\d,]+\.?\d*|[\d,]+\.?\d*\s*[$€£¥₹]"
 RATING = r"\d+\.?\d*\s*/\s*\d+"
@@ -18,9 +29,9 @@ URL = r"https?://"
 CURRENCY = "[$€£¥₹]"
 SKIPPED = ["html", "head", "body", "script", "style", "meta", "link", "br", "hr", "noscript", "iframe", "svg", "path"]
 WEIGHTS = {"length": 0.15, "words": 0.15, "type": 0.30, "digits": 0.15, "currency": 0.15, "letters": 0.10}
-#: Columns of ``nodes`` that flexible extraction reads.
-NEEDED = ["page_id", "node_id", "parent_id", "name", "chain", "child_tags", "text_strip"]
-FINGERPRINT = "fp_key string, alias string, sample_texts array<string>, count bigint, avg_length double, min_length int, max_length int, std_length double, avg_word_count double, min_word_count int, max_word_count int, content_type string, has_currency boolean, avg_digit_ratio double, avg_alpha_ratio double"
+#: What a fingerprint holds besides its key and alias.
+FIGURES = ["sample_texts", "count", "avg_length", "min_length", "max_length", "std_length", "avg_word_count", "min_word_count", "max_word_count", "content_type", "has_currency", "avg_digit_ratio", "avg_alpha_ratio"]
+_PRICE, _RATING, _URL, _CURRENCY = (re.compile(p) for p in (PRICE, RATING, URL, CURRENCY))
 
 
 def words(text: Column) -> Column:
@@ -63,63 +74,117 @@ def fingerprint(texts: DataFrame, value: str = "value", order: str | None = None
     return made.where(F.col("count") > 0)
 
 
-def fingerprint_of(spark: SparkSession, values: list[str], alias: str = "") -> list[dict]:
+@dataclass(frozen=True)
+class Shape:
+    """The figures of one text."""
+
+    length: int
+    words: int
+    digits: float
+    letters: float
+    currency: bool
+    price: bool
+    rating: bool
+    url: bool
+
+    @classmethod
+    @functools.lru_cache(4096)
+    def of(cls, text: str) -> Shape:
+        n = len(text)
+        share_of = lambda test: sum(map(test, text)) / max(n, 1)
+        seen = [p.search(text) is not None for p in (_CURRENCY, _PRICE, _RATING, _URL)]
+        return cls(n, len(text.split()), share_of(str.isdecimal), share_of(str.isalpha), *seen)
+
+    def type(self) -> str:
+        return _type(self.price, self.rating, self.url, self.digits, self.length)
+
+
+def _type(price: float, rating: float, url: float, digits: float, length: float) -> str:
+    """content_type of plain numbers."""
+    for much, kind in ((price, "price"), (rating, "rating"), (url, "url"), (digits, "number")):
+        if much > 0.5:
+            return kind
+    return "description" if length > 100 else "short_text" if length < 15 else "text"
+
+
+def fingerprint_of(values: list[str], alias: str = "") -> list[dict]:
     """The fingerprint of learned values, with its key, as plain data; none for no values."""
     if not values:
         return []
-    rows = fingerprint(spark.createDataFrame(list(enumerate(values)), "at long, value string"), order="at").collect()
+    shapes = [Shape.of(v) for v in values]
+    mean = lambda name: sum(getattr(x, name) for x in shapes) / len(shapes)
+    lengths, counts, middle = [x.length for x in shapes], [x.words for x in shapes], mean("length")
+    figures = [
+        values[:10], len(values), middle, min(lengths), max(lengths), math.sqrt(sum((n - middle) ** 2 for n in lengths) / len(lengths)), mean("words"), min(counts), max(counts),
+        _type(mean("price"), mean("rating"), mean("url"), mean("digits"), middle), any(x.currency for x in shapes), mean("digits"), mean("letters"),
+    ]
     key = hashlib.sha256(str(sorted(values[:5])).encode()).hexdigest()[:8]
-    return [{"fp_key": key, "alias": alias, **r.asDict()} for r in rows]
+    return [{"fp_key": key, "alias": alias, **dict(zip(FIGURES, figures, strict=True))}]
+
+
+def _near(n: int, low: int, high: int) -> float:
+    """1 inside the bounds, else the quotient with the nearer one."""
+    return 1.0 if low <= n <= high else n / max(low, 1) if n < low else high / max(n, 1)
 
 
-def score(text: Column, fp: dict[str, Column]) -> Column:
+def score(text: str, fp: dict) -> float:
     """How well a text fits a fingerprint, 0 to 1."""
-    own = shape(text)
-    n, w = own["length"], own["words"]
-    one = F.lit(1)
-    in_reach = (n >= fp["min_length"] * 0.5) & (n <= fp["max_length"] * 2.0)
-    nearness = F.when(n < fp["min_length"], n / F.greatest(fp["min_length"], one)).otherwise(fp["max_length"] / F.greatest(n, one))
-    length = F.when(n.between(fp["min_length"], fp["max_length"]), 1.0).when(in_reach, nearness).otherwise(0.0)
-    count = F.when(w.between(fp["min_word_count"], fp["max_word_count"]), 1.0).when(w < fp["min_word_count"], w / F.greatest(fp["min_word_count"], one)).otherwise(fp["max_word_count"] / F.greatest(w, one))
-    kind = content_type(*(F.when(own[k], 1.0).otherwise(0.0) for k in ("price", "rating", "url")), own["digits"], n)
-    short = lambda c: c.isin("text", "short_text")
-    type_ = F.when(kind == fp["content_type"], 1.0).when(short(kind) & short(fp["content_type"]), 0.7).when((fp["content_type"] == "price") & own["currency"], 0.9).otherwise(0.0)
-    digits = F.greatest(F.lit(0.0), 1 - F.abs(own["digits"] - fp["avg_digit_ratio"]) * 3)
-    currency = F.when(own["currency"] == fp["has_currency"], 1.0).when(fp["has_currency"], 0.0).otherwise(0.3)
-    letters = F.greatest(F.lit(0.0), 1 - F.abs(own["letters"] - fp["avg_alpha_ratio"]) * 2)
-    parts = {"length": length, "words": count, "type": type_, "digits": digits, "currency": currency, "letters": letters}
-    return reduce(lambda a, b: a + b, [parts[k] * weight for k, weight in WEIGHTS.items()])
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Elements that may hold a value: with text, few children, and not just a wrapper around one."""
-    lone = nodes.where(F.size("child_tags") == 1).select("page_id", "node_id", "text_strip")
-    child = nodes.select("page_id", F.col("parent_id").alias("node_id"), F.col("text_strip").alias("inner"))
-    wrappers = lone.join(child, ["page_id", "node_id"]).where("text_strip = inner").select("page_id", "node_id")
-    able = nodes.where((~F.col("name").isin(SKIPPED)) & (F.col("text_strip") != "") & (F.size("child_tags") <= 3))
-    return able.join(wrappers, ["page_id", "node_id"], "left_anti")
-
-
-def extract(nodes: DataFrame, fingerprints: list[dict], min_content_score: float = 0.4) -> DataFrame:
-    """page_id, fp_key, alias, pos and value: each fingerprint's best group of positions on each page, best first.
-
-    Fingerprints are few (one for each training): each candidate is taken apart into a row for each, without a join.
-    """
-    kinds = dict(x.split(maxsplit=1) for x in FINGERPRINT.split(", "))
-    columns = [c for c in kinds if c != "sample_texts"]
-    each = F.array(*[F.struct(*[F.lit(f[c]).cast(kinds[c]).alias(f"f_{c}") for c in columns]) for f in fingerprints])
-    above = lambda back: F.get("chain", F.size("chain") - 1 - back)
-    seen = candidates(nodes).select("page_id", "node_id", "name", "text_strip", F.coalesce(above(2)["tag"], F.when(F.size("chain") == 2, F.lit("[document]")), F.lit("")).alias("grand"), F.coalesce(above(1)["tag"], F.lit("[document]")).alias("parent"), F.coalesce(F.array_join(above(1)["cls"], " "), F.lit("")).alias("parent_class"))
-    paired = seen.select("*", F.explode(each).alias("f")).select("*", "f.*").drop("f")
-    scored = paired.withColumn("score", score(F.col("text_strip"), {c: F.col(f"f_{c}") for c in columns})).where(F.col("score") >= min_content_score)
-    key = ["page_id", "f_fp_key", "grand", "parent", "parent_class", "name"]
-    sizes = scored.groupBy(*key).agg(F.avg("score").alias("mean"), F.count("*").alias("n"), F.min("node_id").alias("first"), F.first("f_count").alias("wanted"))
-    sizes = sizes.where((F.col("n") >= 2) | (F.col("wanted") <= 1))
-    rank = F.col("mean") * 0.6 + F.least("n", "wanted") / F.greatest("n", "wanted") * 0.4
-    best = sizes.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "f_fp_key").orderBy(rank.desc(), "first"))).where("nth = 1").select(*key)
-    chosen = scored.join(best, key, "left_semi")
-    without = scored.join(best.select("page_id", "f_fp_key"), ["page_id", "f_fp_key"], "left_anti")
-    by_score = Window.partitionBy("page_id", "f_fp_key").orderBy(F.col("score").desc(), "node_id")
-    top = without.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") <= F.greatest("f_count", F.lit(1))).drop("nth")
-    every = chosen.unionByName(top).withColumn("pos", F.row_number().over(by_score) - 1)
-    return every.select("page_id", F.col("f_fp_key").alias("fp_key"), F.col("f_alias").alias("alias"), "pos", "node_id", F.col("text_strip").alias("value"), "score")
+    own, kind, wanted = Shape.of(text), Shape.of(text).type(), fp["content_type"]
+    in_reach = fp["min_length"] * 0.5 <= own.length <= fp["max_length"] * 2.0
+    short = ("text", "short_text")
+    parts = {
+        "length": _near(own.length, fp["min_length"], fp["max_length"]) if in_reach else 0.0,
+        "words": _near(own.words, fp["min_word_count"], fp["max_word_count"]),
+        "type": 1.0 if kind == wanted else 0.7 if kind in short and wanted in short else 0.9 if wanted == "price" and own.currency else 0.0,
+        "digits": max(0.0, 1 - abs(own.digits - fp["avg_digit_ratio"]) * 3),
+        "currency": 1.0 if own.currency == fp["has_currency"] else 0.0 if fp["has_currency"] else 0.3,
+        "letters": max(0.0, 1 - abs(own.letters - fp["avg_alpha_ratio"]) * 2),
+    }
+    return sum(parts[k] * weight for k, weight in WEIGHTS.items())
+
+
+def candidates(root: Element) -> Iterator[tuple[Element, str]]:
+    """Elements that may hold a value, and their text: with text, few children, and not just a wrapper around one."""
+    for e in root.walk():
+        own = e.elements
+        if e.name not in SKIPPED and len(own) <= 3 and (text := e.tight()) and not (len(own) == 1 and own[0].tight() == text):
+            yield e, text
+
+
+def best(root: Element, fingerprints: list[dict], least: float = 0.4) -> Iterator[tuple[dict, Element, str, float]]:
+    """Each fingerprint's best group of positions, best first; without a group, as many single elements as were learned."""
+    pool = list(candidates(root)) if fingerprints else []
+    for fp in fingerprints:
+        groups: dict[tuple, list[tuple[Element, str, float]]] = {}
+        for e, text in pool:
+            if (s := score(text, fp)) >= least:
+                up = e.parent
+                groups.setdefault((up.parent.name if up.parent is not None else "", up.name, " ".join(up.classes()), e.name), []).append((e, text, s))
+        wanted = fp["count"]
+
+        def rank(group: list[tuple[Element, str, float]], wanted: int = wanted) -> tuple[float, int]:
+            mean = sum(s for *_, s in group) / len(group)
+            return mean * 0.6 + min(len(group), wanted) / max(len(group), wanted) * 0.4, -group[0][0].number
+
+        by_score = lambda x: (-x[2], x[0].number)
+        fit = [g for g in groups.values() if len(g) >= 2 or wanted <= 1]
+        found = max(fit, key=rank) if fit else sorted((x for g in groups.values() for x in g), key=by_score)[: max(wanted, 1)]
+        yield from ((fp, *x) for x in sorted(found, key=by_score))
+
+
+_FOUND = pa.schema([("page_id", pa.int64()), ("fp_key", pa.string()), ("alias", pa.string()), ("pos", pa.int32()), ("node_id", pa.int32()), ("value", pa.string()), ("score", pa.float64())])
+
+
+def extract(pages: DataFrame, fingerprints: list[dict], min_content_score: float = 0.4) -> DataFrame:
+    """page_id, fp_key, alias, pos, node_id, value and score: what ``best`` finds on each page."""
+
+    def rows(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
+        nth: Counter = Counter()
+        for fp, e, text, s in best(html.parse(page), fingerprints, min_content_score):
+            yield page_id, fp["fp_key"], fp["alias"], nth[fp["fp_key"]], e.number, text, s
+            nth[fp["fp_key"]] += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return html.page_batches(batches, rows, _FOUND)
+
+    return html.pages_of(pages).mapInArrow(run, "page_id bigint, fp_key string, alias string, pos int, node_id int, value string, score double")

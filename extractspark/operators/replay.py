@@ -1,25 +1,23 @@
 """Rules over tables of pages.
 
-Similar replay is relational: rules meet elements by their path (rules are few, so they are broadcast), the chain of
-ancestors is checked level by level in one expression, and a window over the fitting siblings picks the leaf. Exact replay
-and fuzzy attributes follow one page's tree and run inside the parsing pass.
+A rule's matches, the rank of its leaf among fitting siblings and the fallback for pages where no rule finds anything are
+all questions about one page, so they are answered in the parsing pass: pages stay where they are read, and what leaves
+the pass is values. Replay follows the rules' levels from the top, so it looks at the children along its paths only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import _join
 from ..sources import html
 from .rules import Rule, replay_exact, replay_grouped, replay_similar, value_of
 
-RULE = "stack_id string, alias string, seq int, path string, levels array<struct<tag:string,cls:array<string>,style:string>>, place int, wanted_attr string, is_full_url boolean, is_non_rec_text boolean, rule_url string"
-#: Columns of ``nodes`` that similar replay reads.
-NEEDED = ["page_id", "url", "node_id", "parent_id", "attrs", "path", "chain", "text_raw", "own_text"]
+#: What pages without a value are given to: (page_id, url, tree) to rows like those of the rules.
+Fallback = Callable[[int | None, str | None, html.Element], Iterator[tuple]]
 ROW = "page_id bigint, stack_id string, alias string, seq int, node_id int, value string"
 _ROW = pa.schema([("page_id", pa.int64()), ("stack_id", pa.string()), ("alias", pa.string()), ("seq", pa.int32()), ("node_id", pa.int32()), ("value", pa.string())])
 
@@ -33,45 +31,25 @@ def with_urls(rules: list[Rule]) -> list[tuple[Rule, str]]:
     return out
 
 
-def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The rules as a table: as many rows as were learned."""
-    rows = [(r.stack_id, r.alias, r.seq, r.path, [(x.tag, list(x.cls), x.style) for x in r.levels], r.levels[-1].place, r.wanted_attr, r.is_full_url, r.is_non_rec_text, url) for r, url in with_urls(rules)]
-    return spark.createDataFrame(rows, RULE)
-
-
-def level_fits(have: Column, want: Column) -> Column:
-    whole = F.array_join(have["cls"], " ")
-    classes = F.when(F.size(want["cls"]) == 0, whole == "").otherwise(F.arrays_overlap(want["cls"], have["cls"]) | F.array_contains(want["cls"], whole))
-    return (have["tag"] == want["tag"]) & classes & (have["style"] == want["style"])
+def similar(pages: DataFrame, rules: list[Rule], sibling_leaves: bool = False, keep_blank: bool = False, otherwise: Fallback | None = None) -> DataFrame:
+    """page_id, stack_id, alias, seq, node_id and value of what the rules find on each page."""
+    return in_trees(pages, rules, False, 1.0, sibling_leaves, keep_blank, otherwise)
 
 
-def similar(nodes: DataFrame, rules: list[Rule], sibling_leaves: bool = False, keep_blank: bool = False) -> DataFrame:
-    """page_id, stack_id, alias, seq, node_id and value of what the rules find on each page."""
-    table = F.broadcast(rules_frame(nodes.sparkSession, rules))
-    met = nodes.join(table, "path").where(F.forall(F.zip_with("chain", "levels", level_fits), lambda x: x))
-    if not sibling_leaves:
-        siblings = Window.partitionBy("page_id", "stack_id", "seq", "parent_id")
-        met = met.withColumn("nth", F.row_number().over(siblings.orderBy("node_id"))).withColumn("many", F.count("*").over(siblings))
-        met = met.where(F.col("nth") == F.least(F.col("many"), F.col("place") + 1))
-    attr = F.array_join(F.col("attrs")[F.col("wanted_attr")], " ")
-    base = F.when(F.coalesce("url", F.lit("")) != "", F.col("url")).otherwise(F.col("rule_url"))
-    text = F.when(F.col("is_non_rec_text"), F.col("own_text")).otherwise(F.regexp_replace("text_raw", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
-    value = F.when(F.col("wanted_attr").isNull(), text).when(F.col("is_full_url") & attr.isNotNull(), _join(base, attr)).otherwise(attr)
-    out = met.select("page_id", "stack_id", "alias", "seq", "node_id", value.alias("value"))
-    return out if keep_blank else out.where("value <> ''")
-
-
-def in_trees(pages: DataFrame, rules: list[Rule], exactly: bool, attr_fuzz_ratio: float = 1.0, sibling_leaves: bool = False, keep_blank: bool = False) -> DataFrame:
-    """The rows of exact replay, or of similar replay with fuzzy attributes, page by page."""
+def in_trees(pages: DataFrame, rules: list[Rule], exactly: bool, attr_fuzz_ratio: float = 1.0, sibling_leaves: bool = False, keep_blank: bool = False, otherwise: Fallback | None = None) -> DataFrame:
+    """The rows of similar or exact replay, page by page."""
     known = with_urls(rules)
 
     def find(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
-        root = html.parse(page)
+        root, empty = html.parse(page), True
         for r, base in known:
             for e in replay_exact(r, root, attr_fuzz_ratio) if exactly else replay_similar(r, root, attr_fuzz_ratio, sibling_leaves):
                 value = value_of(e, r, url or base)
                 if value or keep_blank:
+                    empty = False
                     yield page_id, r.stack_id, r.alias, r.seq, e.number, value
+        if empty and otherwise is not None:
+            yield from otherwise(page_id, url, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return html.page_batches(batches, find, _ROW)
@@ -94,14 +72,16 @@ def results(rows: DataFrame, group_by: str | None = None, unique: bool | None =
     return rows.groupBy(*keys).agg((F.array_distinct(found) if only else found).alias("values"))
 
 
-def grouped(pages: DataFrame, rules: list[Rule], attr_fuzz_ratio: float = 1.0) -> DataFrame:
-    """page_id, pos and item (an array, one value for each field) in page order."""
+def grouped(pages: DataFrame, rules: list[Rule], attr_fuzz_ratio: float = 1.0, otherwise: Callable[[str | None, html.Element], list[list[str]]] | None = None) -> DataFrame:
+    """page_id, pos and item (an array, one value for each field) in page order; otherwise: the items of pages without any."""
     known = with_urls(rules)
     base = known[-1][1] if known else ""
     schema = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("item", pa.list_(pa.string()))])
 
     def find(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
-        for i, item in enumerate(replay_grouped(rules, html.parse(page), url or base, attr_fuzz_ratio)):
+        root = html.parse(page)
+        items = replay_grouped(rules, root, url or base, attr_fuzz_ratio)
+        for i, item in enumerate(items or (otherwise(url, root) if otherwise is not None else [])):
             yield page_id, i, item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

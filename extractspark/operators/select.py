@@ -11,6 +11,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import html
+from . import css
+
 
 def attribute(name: str) -> Column:
     """An attribute as one string; null if it isn't there."""
@@ -78,46 +81,42 @@ def related(here: DataFrame, others: DataFrame, axis: str) -> DataFrame:
     return a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & AXES[axis](column("a"), column("b"))).select("from_id", "b.*")
 
 
-_STEP = re.compile(r"\s*([>+~]|\s)?\s*((?:[\w*-]+|[.#][\w-]+|\[[^\]]+\])+)")
-_PART = re.compile(r"([.#]?)([\w*-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]")
-
-
-def _simple(text: str) -> Column:
-    where = F.lit(True)
-    for mark, name, key, how, value in _PART.findall(text):
-        whole = attribute(key) if key else None
-        if key:
-            tests = {"": has_attribute(key), "=": whole == value, "^=": whole.startswith(value), "$=": whole.endswith(value), "*=": whole.contains(value), "~=": F.array_contains(F.split(whole, r"\s+"), value), "|=": whole.rlike(f"^{re.escape(value)}(-|$)")}
-            where &= F.coalesce(tests[how], F.lit(False))
-        elif mark == ".":
-            where &= F.array_contains("cls", name)
-        elif mark == "#":
-            where &= F.coalesce(attribute("id") == name, F.lit(False))
-        elif name != "*":
-            where &= F.col("name") == name.lower()
+def _simple(compound: css.Compound) -> Column:
+    where = F.lit(True) if compound.name == "*" else F.col("name") == compound.name
+    for kind, *rest in compound.tests:
+        if kind == "class":
+            where &= F.array_contains("cls", rest[0])
+        elif kind == "id":
+            where &= F.coalesce(attribute("id") == rest[0], F.lit(False))
+        elif kind == "attribute":
+            key, how, value, any_case = rest
+            whole = F.lower(attribute(key)) if any_case else attribute(key)
+            value = value.lower() if any_case else value
+            tests = {"": has_attribute(key), "=": whole == value, "!=": F.coalesce(whole != value, F.lit(True)), "^=": whole.startswith(value), "$=": whole.endswith(value), "*=": whole.contains(value), "~=": F.array_contains(F.split(whole, r"\s+"), value), "|=": whole.rlike(f"^{re.escape(value)}(-|$)")}
+            where &= F.coalesce(tests[how], F.lit(False)) & F.lit(how not in ("^=", "$=", "*=", "~=") or value != "")
+        else:
+            raise ValueError(f":{kind} looks around in the tree: use select_pages")
     return where
 
 
 def select(nodes: DataFrame, selector: str) -> DataFrame:
-    """Elements by CSS: names, .class, #id, [attribute], the combinators blank > + ~ and commas."""
+    """Elements by CSS, relationally: names, .class, #id, [attribute], the combinators blank > + ~ and commas."""
     found = None
-    for one in selector.split(","):
-        at, here = 0, None
-        one = one.strip()
-        while at < len(one):
-            m = _STEP.match(one, at)
-            if m is None:
-                raise ValueError(f"Not a supported selector: {one!r}")
-            at = m.end()
+    for chain in css.parse(selector):
+        here = None
+        for how, compound in chain:
             if here is None:
-                here = nodes.where(_simple(m[2]))
+                here = nodes.where(_simple(compound))
                 continue
-            axis = {">": "children", "+": "next_siblings", "~": "next_siblings"}.get((m[1] or " ").strip(), "descendants")
-            step = related(here, nodes, axis)
-            if (m[1] or "").strip() == "+":
+            step = related(here, nodes, {">": "children", " ": "descendants"}.get(how, "next_siblings"))
+            if how == "+":
                 step = step.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "from_id").orderBy("node_id"))).where("nth = 1").drop("nth")
-            here = step.where(_simple(m[2])).drop("from_id").dropDuplicates(["page_id", "node_id"])
-        if here is None:
-            raise ValueError("an empty selector")
+            here = step.where(_simple(compound)).drop("from_id").dropDuplicates(["page_id", "node_id"])
         found = here if found is None else found.unionByName(here).dropDuplicates(["page_id", "node_id"])
     return found
+
+
+def select_pages(pages: DataFrame, selector: str, columns: list[str] | None = None, limit: int = 0) -> DataFrame:
+    """Elements by CSS with all that ``css`` knows, found in the parsing pass: no join. limit: the first of each page."""
+    css.parse(selector)  # a wrong selector fails here, not in a task
+    return html.nodes(pages, columns=columns, chosen=lambda root: css.select(root, selector, limit))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as text_functions
 from ..functions import typed
 from ..functions.urls import domain_of
-from ..operators import adaptive, detect, flexible, replay, rules
+from ..operators import adaptive, css, detect, flexible, replay, rules, select
 from ..operators.adaptive import SignatureStore
 from ..operators.rules import Rule, Target
 from ..sources import fetch, html, models
@@ -34,6 +34,17 @@ class Extractor:
         self.group_rules: list[dict] = []
         self.fingerprints: list[dict] = []
         self.store = SignatureStore()
+        self.http = fetch.Session(retries=max_retries, backoff=retry_backoff, pause=rate_limit)
+
+    def __enter__(self) -> Extractor:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Close the connections of pages that were asked for one by one."""
+        self.http.close()
 
     # Pages
 
@@ -43,7 +54,7 @@ class Extractor:
             return page
         if not url:
             raise ValueError("html or url is needed")
-        found, _, error = fetch.fetch_one(url, retries=self.max_retries, backoff=self.retry_backoff)
+        found, _, error = self.http.get(url)
         if error:
             kind, _, what = error.partition(": ")
             raise {"ValueError": ValueError, "ConnectionError": ConnectionError, "TimeoutError": TimeoutError}.get(kind, RuntimeError)(what)
@@ -61,11 +72,11 @@ class Extractor:
         """Learn rules for the example values; returns what they find on the page."""
         wanted = {"": list(wanted_list)} if wanted_list else {k: list(v) if isinstance(v, (list, tuple)) else [v] for k, v in (wanted_dict or {}).items() if v}
         if not any(wanted.values()):
-            raise ValueError("No targets were supplied")
+            raise ValueError("give at least one example value")
         learned, values, found = rules.learn(self.page(html, url), wanted, url or "", text_fuzz_ratio)
         self._keep(learned, update, url)
         if values:
-            self.fingerprints = (self.fingerprints if update else []) + flexible.fingerprint_of(self.spark, values)
+            self.fingerprints = (self.fingerprints if update else []) + flexible.fingerprint_of(values)
         if self.adaptive:
             seen: set[str] = set()
             for e, r in found:
@@ -82,7 +93,7 @@ class Extractor:
     def build_grouped(self, html: str | None = None, wanted_list: list[list[Target]] | None = None, url: str | None = None, update: bool = False, text_fuzz_ratio: float = 1.0) -> list[list[str]]:
         """Learn a rule for each field of the example items; returns the items on the page."""
         if not wanted_list:
-            raise ValueError("No targets were supplied")
+            raise ValueError("give at least one example value")
         if not all(isinstance(x, (list, tuple)) for x in wanted_list):
             raise ValueError("wanted_list must be a list of lists")
         page = self.page(html, url)
@@ -114,20 +125,11 @@ class Extractor:
 
     # Replaying
 
-    def _rows(self, pages: DataFrame, exactly: bool, attr_fuzz_ratio: float, keep_blank: bool, sibling_leaves: bool = False) -> DataFrame:
-        if exactly or attr_fuzz_ratio < 1:
-            return replay.in_trees(pages, self.rules, exactly, attr_fuzz_ratio, sibling_leaves, keep_blank)
-        return replay.similar(html.nodes(pages, columns=replay.NEEDED), self.rules, sibling_leaves, keep_blank)
-
     def _result(self, page: str | None, url: str | None, pages: DataFrame | None, exactly: bool, grouped: bool, group_by_alias: bool, unique: bool | None, attr_fuzz_ratio: float, keep_blank: bool, keep_order: bool = False, sibling_leaves: bool = False) -> Any:
         table = pages if pages is not None else self.one(page, url)
         by = "alias" if group_by_alias else "stack_id" if grouped else None
-        rows = self._rows(table, exactly, attr_fuzz_ratio, keep_blank, sibling_leaves)
-        if self.adaptive:
-            rows = rows.persist()
-            rest = table.join(rows.select("page_id").distinct(), "page_id", "left_anti")
-            found = adaptive.find(rest, self.store, None, self.min_similarity, self.weights)
-            rows = rows.unionByName(found.select("page_id", F.col("identifier").alias("stack_id"), "alias", F.lit(0).alias("seq"), "node_id", "value"))
+        otherwise = adaptive.fallback(self.store, self.min_similarity, self.weights) if self.adaptive else None
+        rows = replay.in_trees(table, self.rules, exactly, attr_fuzz_ratio, sibling_leaves, keep_blank, otherwise)
         out = replay.results(rows, by, unique, keep_order)
         return out if pages is not None else _plain(out, by)
 
@@ -137,17 +139,14 @@ class Extractor:
     def get_result_exact(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None, grouped: bool = False, group_by_alias: bool = False, unique: bool | None = None, attr_fuzz_ratio: float = 1.0, keep_blank: bool = False) -> Any:
         return self._result(html, url, pages, True, grouped, group_by_alias, unique, attr_fuzz_ratio, keep_blank)
 
-    def get_result(self, html: str | None = None, url: str | None = None, **options: Any) -> tuple[Any, Any]:
-        page = self.page(html, url)
-        return self.get_result_similar(page, url, **options), self.get_result_exact(page, url, **options)
+    def get_result(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None, **options: Any) -> tuple[Any, Any]:
+        """What similar and what exact replay find."""
+        page = self.page(html, url) if pages is None else None
+        return self.get_result_similar(page, url, pages, **options), self.get_result_exact(page, url, pages, **options)
 
     def get_result_grouped(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None, attr_fuzz_ratio: float = 1.0, output_format: str = "list") -> Any:
         table = pages if pages is not None else self.one(html, url)
-        found = replay.grouped(table, self.rules, attr_fuzz_ratio)
-        if self.adaptive:
-            found = found.persist()
-            rest = table.join(found.select("page_id").distinct(), "page_id", "left_anti")
-            found = found.unionByName(adaptive.grouped(rest, self.store))
+        found = replay.grouped(table, self.rules, attr_fuzz_ratio, adaptive.items_of(self.store) if self.adaptive else None)
         if pages is not None:
             return found
         return [(tuple if output_format == "tuple" else list)(r["item"]) for r in found.orderBy("pos").collect()]
@@ -156,7 +155,7 @@ class Extractor:
         if not self.fingerprints:
             return self.get_result_similar(html, url, pages)
         table = pages if pages is not None else self.one(html, url)
-        rows = flexible.extract(_persisted(table, flexible.NEEDED), self.fingerprints, min_content_score)
+        rows = flexible.extract(table, self.fingerprints, min_content_score)
         rows = rows.select("page_id", F.col("fp_key").alias("stack_id"), "alias", F.lit(0).alias("seq"), F.col("pos").alias("node_id"), "value")
         by = "alias" if group_by_alias else "stack_id" if grouped else None
         out = replay.results(rows, by, True if unique is None else unique)
@@ -176,12 +175,8 @@ class Extractor:
         stored = self.store.retrieve(domain_of(url), identifier)
         if stored is None:
             return None, 0.0, []
-        root, among = _parse(page), None
-        if selector:
-            from ..operators.select import select
-
-            chosen = {r["node_id"] for r in select(_persisted(self.one(page, url)), selector).select("node_id").collect()}
-            among = [e for e in root.walk() if e.number in chosen]
+        root = _parse(page)
+        among = css.select(root, selector) if selector else None
         every = adaptive.best_matches(root, stored, self.min_similarity if min_similarity is None else min_similarity, url or "", self.weights, among)
         return (*every[0], every) if every else (None, 0.0, [])
 
@@ -224,15 +219,18 @@ class Extractor:
         found = table.select("page_id", typed.extract_all(F.col("text"), data_types).alias("data_types"))
         return found if pages is not None else found.first()["data_types"]
 
-    def extract_type(self, kind: str, html: str | None = None, url: str | None = None) -> list[str]:
+    def extract_type(self, kind: str, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
+        """The matches of one type; over a table, page_id and values."""
         typed.pattern(kind)
+        if pages is not None:
+            return detect.page_text(pages).select("page_id", typed.extract_type(F.col("text"), kind).alias("values"))
         return self.extract_data_types(html, url, data_types=[kind]).get(kind, [])
 
-    def extract_emails(self, html: str | None = None, url: str | None = None) -> list[str]:
-        return self.extract_type("email", html, url)
+    def extract_emails(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
+        return self.extract_type("email", html, url, pages)
 
-    def extract_phones(self, html: str | None = None, url: str | None = None) -> list[str]:
-        return self.extract_type("phone", html, url)
+    def extract_phones(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
+        return self.extract_type("phone", html, url, pages)
 
     def extract_prices(self, html: str | None = None, url: str | None = None, parse: bool = False) -> list:
         return detect.page_text(self.one(html, url)).select(typed.extract_prices(F.col("text"), parse).alias("p")).first()["p"]
@@ -243,9 +241,8 @@ class Extractor:
     def detect_cards(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None, min_items: int = 3) -> Any:
         return self._local(html, url, pages, lambda p: detect.detect_cards(p, min_items), lambda r: detect.cards(r, min_items))
 
-    def auto_detect_patterns(self, html: str | None = None, url: str | None = None, min_occurrences: int = 3) -> dict:
-        root = _parse(self.page(html, url))
-        return {"lists": detect.lists(root, min_occurrences), "tables": detect.simple_tables(root), "cards": detect.cards(root, min_occurrences)}
+    def auto_detect_patterns(self, html: str | None = None, url: str | None = None, min_occurrences: int = 3, pages: DataFrame | None = None) -> Any:
+        return self._local(html, url, pages, lambda p: detect.auto_detect(p, min_occurrences), lambda r: detect.patterns_of(r, min_occurrences))
 
     def extract_tables(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None, as_dicts: bool = True) -> Any:
         drop = lambda t: t if as_dicts else {k: v for k, v in t.items() if k != "as_dicts"}
@@ -254,27 +251,33 @@ class Extractor:
     def extract_table_to_csv(self, html: str | None = None, url: str | None = None, table_index: int = 0) -> str:
         return detect.table_csv(_parse(self.page(html, url)), table_index)
 
-    def extract_structured_data(self, html: str | None = None, url: str | None = None) -> dict:
-        root = _parse(self.page(html, url))
-        return {"json_ld": detect.json_ld_of(root), "meta_tags": detect.meta_of(root), "microdata": detect.microdata_of(root)}
+    def extract_structured_data(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
+        return self._local(html, url, pages, detect.extract_structured, detect.structured_of)
+
+    def extract_json_ld(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
+        return self._local(html, url, pages, lambda p: detect.json_ld(_nodes(p, ["script"])), detect.json_ld_of)
 
-    def extract_json_ld(self, html: str | None = None, url: str | None = None) -> list:
-        return self.extract_structured_data(html, url)["json_ld"]
+    def extract_meta_tags(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
+        return self._local(html, url, pages, lambda p: detect.meta_tags(_nodes(p, ["meta", "title"])), detect.meta_of)
 
-    def extract_meta_tags(self, html: str | None = None, url: str | None = None) -> dict:
-        return self.extract_structured_data(html, url)["meta_tags"]
+    def extract_microdata(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
+        return self._local(html, url, pages, detect.extract_microdata, detect.microdata_of)
 
     def detect_pagination(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
         return self._local(html, url, pages, detect.detect_pagination, lambda r: detect.pagination(r, url))
 
-    def get_all_page_urls(self, html: str | None = None, url: str | None = None, max_pages: int = 100) -> list[str]:
-        return detect.page_urls(_parse(self.page(html, url)), url, max_pages)
+    def get_all_page_urls(self, html: str | None = None, url: str | None = None, max_pages: int = 100, pages: DataFrame | None = None) -> Any:
+        return self._local(html, url, pages, lambda p: detect.all_page_urls(p, max_pages), lambda r: detect.page_urls(r, url, max_pages))
+
+    def extract_with_regex(self, pattern: str, html: str | None = None, url: str | None = None, flags: int = 0, pages: DataFrame | None = None) -> Any:
+        return self._local(html, url, pages, lambda p: detect.found_in_text(p, pattern, flags), lambda r: re.findall(pattern, r.text(), flags))
 
-    def extract_with_regex(self, pattern: str, html: str | None = None, url: str | None = None, flags: int = 0) -> list:
-        return re.findall(pattern, _parse(self.page(html, url)).text(), flags)
+    def extract_with_named_groups(self, pattern: str, html: str | None = None, url: str | None = None, flags: int = 0, pages: DataFrame | None = None) -> Any:
+        return self._local(html, url, pages, lambda p: detect.named_in_text(p, pattern, flags), lambda r: [m.groupdict() for m in re.finditer(pattern, r.text(), flags)])
 
-    def extract_with_named_groups(self, pattern: str, html: str | None = None, url: str | None = None, flags: int = 0) -> list[dict]:
-        return [m.groupdict() for m in re.finditer(pattern, _parse(self.page(html, url)).text(), flags)]
+    def select(self, selector: str, html: str | None = None, url: str | None = None, pages: DataFrame | None = None, limit: int = 0) -> Any:
+        """Elements by CSS; over a table, their columns."""
+        return self._local(html, url, pages, lambda p: select.select_pages(p, selector, limit=limit), lambda r: css.select(r, selector, limit))
 
     def clean_text(self, text: str, **options: bool) -> str:
         return self.spark.createDataFrame([(text,)], "t string").select(text_functions.clean(F.col("t"), **options).alias("t")).first()["t"]
@@ -290,9 +293,8 @@ def _parse(page: str) -> Element:
     return html.parse(page)
 
 
-def _persisted(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Elements that more than one branch of a plan reads are computed once."""
-    return html.nodes(pages, columns=columns).persist()
+def _nodes(pages: DataFrame, names: list[str]) -> DataFrame:
+    return html.nodes(pages, names=names)
 
 
 def _plain(out: DataFrame, by: str | None) -> Any:

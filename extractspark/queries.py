@@ -7,16 +7,20 @@ from the star schema first, so that the relational query itself is the reference
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .deploy import shared_dir, spread
 from .functions import regex, similarity, text, typed, urls
 from .operators import adaptive, detect, flexible, replay, rules, select
 from .operators.adaptive import SignatureStore
+from .plans.registry import register_functions
 from .plans.session import Extractor
 from .sources import html, models
+from .streaming import pages as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; small files of them are dealt out before they are searched."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def learned_heading(spark: SparkSession, sf_dir: str) -> list[rules.Rule]:
     """A rule for the heading, from the first page that has a plain one."""
     pages = table(spark, sf_dir, "pages").where(F.col("html").rlike("<h1>[^&<]{20,}</h1>"))
@@ -39,7 +48,7 @@ def learned_heading(spark: SparkSession, sf_dir: str) -> list[rules.Rule]:
 
 def exploded(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents")
+        docs = texts(spark, sf_dir)
         return docs.select("doc_id", F.posexplode(typed.extract_type(F.col("text"), kind)).alias("pos", "value"))
 
     return run
@@ -65,7 +74,7 @@ def exploded_orders(kind: str) -> Query:
 
 def typed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = typed.extract_all(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select(F.explode(found).alias("type", "matches"))
+    rows = texts(spark, sf_dir).select(F.explode(found).alias("type", "matches"))
     return rows.groupBy("type").agg(F.count("*").alias("documents"), F.sum(F.size("matches")).alias("matches"))
 
 
@@ -75,15 +84,15 @@ def parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+    return texts(spark, sf_dir).select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
+    return texts(spark, sf_dir).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 def truncate_200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text")).alias("short"))
+    return texts(spark, sf_dir).select("doc_id", text.truncate(F.col("text")).alias("short"))
 
 
 def regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +119,12 @@ def domain_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    other = bench.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    pairs = bench.join(other, "item_id")
-    return pairs.select("item_id", F.round(similarity.text_ratio(F.col("text"), F.col("other")), 4).alias("ratio"), similarity.text_like(F.col("text"), F.col("other"), 0.3).alias("alike"))
+    """Names against themselves: in capitals, with more at the end, with another start, and with nothing in common."""
+    name = F.col("p_name")
+    others = {"case": F.concat(F.lit("  "), F.upper(name)), "end": F.concat(name, F.lit("####")), "start": F.concat(F.lit("~~~~~"), F.substring(name, 6, 1000)), "none": F.repeat(F.lit("0"), 9)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("other")) for k, v in others.items()]))
+    pairs = table(spark, sf_dir, "part").select("p_partkey", "p_name", each.alias("x")).select("p_partkey", "p_name", "x.*")
+    return pairs.select("p_partkey", "kind", F.round(similarity.text_ratio(name, F.col("other")), 4).alias("ratio"), similarity.text_like(name, F.col("other"), 0.8).alias("alike"))
 
 
 # Elements, rules ------------------------------------------------------------------------------------------------------
@@ -146,7 +157,7 @@ def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"], columns=replay.NEEDED), learned_heading(spark, sf_dir))
+    rows = replay.similar(table(spark, sf_dir, "pages"), learned_heading(spark, sf_dir))
     return rows.select("page_id", text.compose(F.col("value")).alias("heading"))
 
 
@@ -156,7 +167,7 @@ def h1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h1_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"], columns=replay.NEEDED), learned_heading(spark, sf_dir))
+    rows = replay.similar(table(spark, sf_dir, "pages"), learned_heading(spark, sf_dir))
     return replay.results(rows, "alias").select("page_id", "alias", text.compose(F.array_join("values", "|")).alias("headings"))
 
 
@@ -175,23 +186,8 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flexible_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     first = html.parse(pages.orderBy("page_id").select("html").first()["html"])  # the training page
-    fps = flexible.fingerprint_of(spark, [e.text().strip() for e in first.walk() if e.name == "h1"])
-    nodes = html.nodes(pages, columns=flexible.NEEDED).persist()
-    return flexible.extract(nodes, fps).select("page_id", "pos", "value", F.round("score", 4).alias("score"))
-
-
-def adaptive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    first = pages.orderBy("page_id").first()
-    store = SignatureStore()
-    wanted = next(e for e in html.parse(first["html"]).walk() if e.name == "h1")
-    store.save(urls.domain_of(first["url"]), "heading", adaptive.signature(wanted, first["url"]))
-    found = adaptive.find(pages, store, min_similarity=0.3, domain=urls.domain_of(first["url"]))
-    return found.select("page_id", "identifier", "node_id", "score", "value")
-
-
-def similar_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptive.find_similar(table(spark, sf_dir, "pages"), "li")
+    fps = flexible.fingerprint_of([e.text().strip() for e in first.walk() if e.name == "h1"])
+    return flexible.extract(pages, fps).select("page_id", "pos", F.length("value").alias("length"), F.round("score", 4).alias("score"))
 
 
 def repeated_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +196,9 @@ def repeated_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smart_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.smart_extract(table(spark, sf_dir, "pages")).select("page_id", F.size("data_types").alias("types"), "patterns", "structured_data", "pagination.next")
+    found = detect.smart_extract(table(spark, sf_dir, "pages"))
+    title, items = F.get_json_object("structured_data", "$.meta_tags.standard.title"), F.get_json_object("patterns", "$.lists[0].count")
+    return found.select("page_id", text.compose(title).alias("title"), items.cast("int").alias("items"), F.col("pagination.next").alias("next"), F.col("pagination.total_pages").alias("total_pages"))
 
 
 # Pages written from the star schema -----------------------------------------------------------------------------------
@@ -244,7 +242,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = part_pages(spark, sf_dir).persist()
+    pages = part_pages(spark, sf_dir)
     first = pages.orderBy("page_id").first()["html"]
     root = html.parse(first)
     wanted = [next(e for e in root.walk() if e.name == n).tight() for n in ("h2", "span")]
@@ -265,6 +263,170 @@ def nation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("https://www.example.com/n").alias("url"), head.alias("html"))
 
 
+def item() -> Column:
+    return F.concat(F.lit("Item "), F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_name"))
+
+
+def price() -> Column:
+    return F.concat(F.lit("$"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"))
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of named items with prices; every other page's items have a class of a slightly different name."""
+    row = F.concat(F.lit('<li class="row-item'), F.when(F.col("p_size") % 2 == 1, "").otherwise("s"), F.lit('"><h2 class="name">'), item(), F.lit('</h2><span class="price">'), price(), F.lit('</span><a href="/p/'), F.col("p_partkey").cast("string"), F.lit('">more</a></li>'))
+    return as_pages(table(spark, sf_dir, "part"), "p_size", F.struct("p_partkey", row.alias("part")), '<html><body><ul class="shop">', "</ul><footer><div><div><div><div><ul><li>far</li></ul></div></div></div></div></footer></body></html>")
+
+
+def tile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items after a redesign."""
+    tile = F.concat(F.lit('<section class="tile"><h3>'), item(), F.lit("</h3><em>by "), F.col("p_brand"), F.lit("</em><span>"), price(), F.lit("</span></section>"))
+    return as_pages(table(spark, sf_dir, "part"), "p_size", F.struct("p_partkey", tile.alias("part")), '<html><body><main><div class="grid">', "</div></main></body></html>")
+
+
+def trained(spark: SparkSession, sf_dir: str, **options: bool) -> Extractor:
+    """Rules for the name and the price of the third item of the first page that has three, with their signatures."""
+    page = shop_pages(spark, sf_dir).where("page_id % 2 = 1 and length(html) - length(replace(html, '<h2', '')) >= 9").orderBy("page_id").first()
+    row = [e for e in html.parse(page["html"]).walk() if e.name == "li"][2]
+    session = Extractor(spark, **options)
+    session.build(page["html"], wanted_dict={"name": [row.elements[0].text()], "price": [row.elements[1].text()]}, url=page["url"])
+    session.keep_rules([next(r.stack_id for r in session.rules if r.alias == alias) for alias in ("name", "price")])
+    return session
+
+
+def items_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of the pages with the known class."""
+    session = trained(spark, sf_dir)
+    return replay.similar(shop_pages(spark, sf_dir), session.rules).select("page_id", "alias", "value")
+
+
+def items_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item at the trained place, or the last one."""
+    session = trained(spark, sf_dir)
+    return session.get_result_exact(pages=shop_pages(spark, sf_dir), group_by_alias=True).select("page_id", "alias", F.array_join("values", "|").alias("value"))
+
+
+def items_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of all pages."""
+    session = trained(spark, sf_dir)
+    return replay.in_trees(shop_pages(spark, sf_dir), session.rules, exactly=False, attr_fuzz_ratio=0.8).select("page_id", "alias", "value")
+
+
+def items_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and prices as they stand on the page, equal prices included."""
+    session = trained(spark, sf_dir)
+    return session.get_result_similar(pages=shop_pages(spark, sf_dir), unique=False, keep_order=True).select("page_id", F.array_join("values", "|").alias("all_values"))
+
+
+def items_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names and prices, rule by rule."""
+    session = trained(spark, sf_dir)
+    return session.get_result_similar(pages=shop_pages(spark, sf_dir)).select("page_id", F.array_join("values", "|").alias("all_values"))
+
+
+def items_either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values similar and exact replay find."""
+    session = trained(spark, sf_dir)
+    similar, exact = session.get_result(pages=shop_pages(spark, sf_dir), unique=False)
+    return similar.select("page_id", F.lit("similar").alias("how"), F.size("values").alias("n")).unionByName(exact.select("page_id", F.lit("exact").alias("how"), F.size("values").alias("n")))
+
+
+def items_from_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by a model that went through JSON and SQLite."""
+    with tempfile.TemporaryDirectory() as folder:  # a model lives on the driver
+        session, again = trained(spark, sf_dir), Extractor(spark)
+        session.save(f"{folder}/model.json")
+        again.load(f"{folder}/model.json")
+        again.save(f"{folder}/model.db")
+        again = Extractor(spark)
+        again.load(f"{folder}/model.db")
+    again.keep_rules([r.stack_id for r in again.rules if r.alias == "price"])
+    return again.get_result_similar(pages=shop_pages(spark, sf_dir), group_by_alias=True).select("page_id", "alias", F.array_join("values", "|").alias("prices"))
+
+
+def items_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flexible extraction: the prices of the redesigned pages by the shape of known prices."""
+    page = shop_pages(spark, sf_dir).orderBy("page_id").first()
+    fps = flexible.fingerprint_of([e.text() for e in html.parse(page["html"]).walk() if e.name == "span"])
+    several = tile_pages(spark, sf_dir).where("length(html) - length(replace(html, '<h3', '')) >= 6")  # a single item is no group
+    return flexible.extract(several, fps).select("page_id", "value")
+
+
+def items_regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive items of the redesigned pages, by the fields learned from the old ones."""
+    page = shop_pages(spark, sf_dir).orderBy("page_id").first()
+    row = next(e for e in html.parse(page["html"]).walk() if e.name == "li")
+    session = Extractor(spark, adaptive=True)
+    session.build_grouped(page["html"], [[row.elements[0].text(), row.elements[1].text()]], url=page["url"])
+    found = session.get_result_grouped(pages=tile_pages(spark, sf_dir))
+    return found.select("page_id", F.col("item")[0].alias("name"), F.col("item")[1].alias("price"))
+
+
+def similar_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items like each page's first one; list items far from its depth are none."""
+    found = adaptive.find_similar(shop_pages(spark, sf_dir), "li")
+    return found.select("page_id", F.regexp_extract("value", r"^Item (\d+)", 1).cast("long").alias("item"))
+
+
+def headings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading in one layout on even pages; on odd ones it has moved, and there are others of its tag."""
+    name, key = F.col("n_name"), F.col("n_nationkey").cast("string")
+    old = F.concat(F.lit('<div class="head"><h2 class="name" id="n">'), name, F.lit("</h2></div><h2>Other</h2>"))
+    new = F.concat(F.lit('<section><h2 class="side">Side '), key, F.lit('</h2><div class="head wide"><h2 class="name big" id="n">'), name, F.lit("</h2></div></section>"))
+    page = F.concat(F.lit("<html><body>"), F.when(F.col("n_nationkey") % 2 == 0, old).otherwise(new), F.lit("</body></html>"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("https://www.example.com/n").alias("url"), page.alias("html"))
+
+
+def _first_heading(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    page = headings_pages(spark, sf_dir).orderBy("page_id").first()
+    return page["html"], page["url"], next(e for e in html.parse(page["html"]).walk() if e.name == "h2").text()
+
+
+def adaptive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best element for a stored signature on each page, among others of its tag."""
+    page, url, _ = _first_heading(spark, sf_dir)
+    store = SignatureStore()
+    store.save(urls.domain_of(url), "heading", adaptive.signature(next(e for e in html.parse(page).walk() if e.name == "h2"), url))
+    again = SignatureStore()
+    again.import_all(store.export_all())
+    return adaptive.find(headings_pages(spark, sf_dir), again, min_similarity=0.3).select("page_id", "identifier", "value")
+
+
+def adaptive_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a session that learned from the value."""
+    page, url, value = _first_heading(spark, sf_dir)
+    session = Extractor(spark, adaptive=True, min_similarity=0.3)
+    session.adaptive_build(page, wanted_dict={"heading": [value]}, url=url)
+    return session.get_result_adaptive(pages=headings_pages(spark, sf_dir), identifiers=["heading"]).select("page_id", "alias", "value")
+
+
+def adaptive_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules where they fit, and the stored signature where they find nothing."""
+    page, url, value = _first_heading(spark, sf_dir)
+    session = Extractor(spark, adaptive=True, min_similarity=0.3)
+    session.build(page, wanted_dict={"heading": [value]}, url=url)
+    return session.get_result_similar(pages=headings_pages(spark, sf_dir), group_by_alias=True).select("page_id", "alias", F.array_join("values", "|").alias("found"))
+
+
+def rules_without_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page, url, value = _first_heading(spark, sf_dir)
+    session = Extractor(spark)
+    session.build(page, wanted_dict={"heading": [value]}, url=url)
+    return session.get_result_similar(pages=headings_pages(spark, sf_dir), group_by_alias=True).select("page_id", "alias", F.array_join("values", "|").alias("found"))
+
+
+def signature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after saving, replacing, deleting, exporting, importing and clearing."""
+    store, other = SignatureStore(), SignatureStore()
+    for domain, name, tag in (("a.com", "x", "p"), ("a.com", "y", "b"), ("a.com", "x", "h1"), ("b.com", "z", "i"), ("c.com", "z", "u")):
+        store.save(domain, name, {"tag_name": tag})
+    store.delete("a.com", "y")
+    store.clear_domain("c.com")
+    other.import_all(store.export_all())
+    store.clear_all()
+    rows = [(d, i, other.retrieve(d, i)["tag_name"], len(store.list_identifiers(d))) for d in ("a.com", "b.com", "c.com") for i in other.list_identifiers(d)]
+    return spark.createDataFrame(rows, "domain string, identifier string, tag string, after_clearing int")
+
+
 def meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.meta_tags(html.nodes(nation_pages(spark, sf_dir), names=["meta", "title"]))
 
@@ -282,6 +444,128 @@ def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect_pagination(nation_pages(spark, sf_dir)).select("page_id", "next", "prev", "current", "total_pages", F.size("pages").alias("n_pages"))
 
 
+def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything at once: structured data, patterns, typed values and pagination."""
+    found = detect.smart_extract(nation_pages(spark, sf_dir))
+    data = lambda path: F.get_json_object("structured_data", path)
+    return found.select("page_id", data("$.json_ld[0].name").alias("name"), data("$.meta_tags.og.title").alias("og_title"), data("$.microdata[0].properties.code").alias("code"), "pagination.next", "pagination.current")
+
+
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Extractor(spark).extract_structured_data(pages=nation_pages(spark, sf_dir))
+    data = lambda path: F.get_json_object("structured_data", path)
+    return found.select("page_id", data("$.json_ld[0].id").cast("long").alias("id"), data("$.meta_tags.standard.description").alias("description"), data("$.microdata[0].properties.name").alias("name"))
+
+
+def patterns_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Extractor(spark).auto_detect_patterns(pages=order_pages(spark, sf_dir))
+    return found.select("page_id", F.get_json_object("patterns", "$.tables[0].row_count").cast("int").alias("rows"), F.get_json_object("patterns", "$.tables[0].headers[1]").alias("second"))
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Extractor(spark).get_all_page_urls(pages=nation_pages(spark, sf_dir), max_pages=1)
+
+
+def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with what a parser meets: references, self-closed and unclosed elements, comments, mixed content, addresses."""
+    name, key = F.col("n_name"), F.col("n_nationkey").cast("string")
+    page = F.concat(
+        F.lit('<!DOCTYPE html><html><body><!-- no '), key, F.lit(' --><p title="t&amp;'), key, F.lit('">&#65;&eacute;&#x42;<br/>'), name, F.lit(' <b>bold</b> '), key, F.lit("</p>"),
+        F.lit('<div itemscope itemtype="N"><i itemprop="v">'), key, F.lit('</i><i itemprop="v">'), name, F.lit("</i></div><address> write to n"), key, F.lit("@example.com or call 555-123-"), F.lpad(key, 4, "0"),
+        F.lit(" for $"), key, F.lit('.50 </address><script>var a = "<b>";</script><ul><li class="a b">one<li>two<li>three</ul><![if x]><section>open '), name,
+    )
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("https://www.example.com/n").alias("url"), page.alias("html"))
+
+
+def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full, own and spaced own text, depth and place."""
+    found = html.nodes(mixed_pages(spark, sf_dir), names=["p", "li", "section"], columns=["page_id", "name", "depth", "tag_ord", "text_raw", "own_text", "own_text_sp"])
+    return found.select("page_id", "name", "depth", "tag_ord", *[text.compose(F.col(c)).alias(c) for c in ("text_raw", "own_text", "own_text_sp")])
+
+
+def page_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves that are no plain text."""
+    return html.strings(mixed_pages(spark, sf_dir)).where("kind <> 'text'").select("page_id", "kind", F.col("text").alias("leaf"))
+
+
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.nodes(mixed_pages(spark, sf_dir), names=["p"], columns=["page_id", "markup"], unescape=False)
+
+
+def microdata_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Extractor(spark).extract_microdata(pages=mixed_pages(spark, sf_dir)).select("page_id", "property", "pos", "value")
+
+
+def session_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, pages = Extractor(spark), mixed_pages(spark, sf_dir)
+    joined = lambda df, name: df.select("page_id", F.array_join("values", "|").alias(name))
+    return joined(session.extract_emails(pages=pages), "emails").join(joined(session.extract_phones(pages=pages), "phones"), "page_id").join(joined(session.extract_type("price", pages=pages), "prices"), "page_id")
+
+
+def page_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, pages = Extractor(spark), mixed_pages(spark, sf_dir)
+    plain = session.extract_with_regex(r"n(\d+)@(\w+)", pages=pages).select("page_id", "pos", F.array_join("groups", "|").alias("found"))
+    named = session.extract_with_named_groups(r"(?P<area>\d{3})-\d{3}-(?P<line>\d{4})", pages=pages)
+    return plain.join(named.select("page_id", F.col("groups")["line"].alias("line")), "page_id")
+
+
+def title_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stored as bytes in UTF-16 with its mark."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-16").alias("html"))
+    return html.nodes(pages, names=["title"], columns=["page_id", "text_strip"]).select("page_id", text.compose(F.col("text_strip")).alias("title"))
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.normalize(F.concat(F.lit(" \t\u00a0\ufb01 \u2460 "), F.col("p_name"), F.lit(" \n"))).alias("plain"))
+
+
+def first_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two links of each page."""
+    nodes = html.nodes(table(spark, sf_dir, "pages"), names=["a"], columns=["page_id", "node_id", "name", "attrs", "text_strip", "single_string"])
+    return select.find_all(nodes, "a", {"href": True}, limit=2).select("page_id", text.compose(F.col("text_strip")).alias("label"))
+
+
+def links_called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = html.nodes(table(spark, sf_dir, "pages"), names=["a"], columns=["page_id", "node_id", "name", "attrs", "single_string"])
+    return select.find_all(nodes, "a", string="the").groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements along each axis from the list items, counted."""
+    nodes = html.nodes(shop_pages(spark, sf_dir), columns=["page_id", "node_id", "parent_id", "last_desc", "name"])
+    rows = select.find_all(nodes, "li")
+    counted = [select.related(rows, nodes, axis).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", F.lit(axis).alias("axis"), "n") for axis in ("children", "descendants", "parent", "ancestors", "next_siblings", "previous_siblings")]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def css_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors that look around: places, negation, content."""
+    pages = shop_pages(spark, sf_dir)
+    kinds = {"last": "ul.shop > li:last-child > h2", "second": "ul.shop > li:nth-child(2):not(:first-child) > h2", "linked": "li:has(> a[href$='1']) > h2, h1"}
+    found = [select.select_pages(pages, css, ["page_id", "text_strip"]).select("page_id", F.lit(kind).alias("kind"), F.regexp_extract("text_strip", r"^Item (\d+)", 1).cast("long").alias("item")) for kind, css in kinds.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a table function, and the functions by their SQL names."""
+    register_functions(spark)
+    headings_pages(spark, sf_dir).createOrReplaceTempView("pages_with_headings")
+    return spark.sql("select page_id, t.name as tag, t.depth, t.text_strip as heading, fuzzy_ratio(upper(t.text_strip), t.text_strip) as ratio, url_domain(url) as domain, url_join(url, '../x') as link from pages_with_headings, lateral html_nodes(html) t where t.name = 'h2' and array_contains(t.cls, 'name')")
+
+
+def streamed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list items of the pages, read and written as a stream."""
+    folder = f"{shared_dir(spark).rstrip('/')}/extractspark/stream-{uuid.uuid4().hex}"
+    # A stream watches a folder or a pattern of names.
+    stream = streams.read_pages(spark, f"{sf_dir}/pages.parque[t]")
+    count = lambda pages: select.select_pages(pages, "nav li", ["page_id"]).groupBy("page_id").agg(F.count("*").alias("items"))
+    streams.extract_stream(stream, count, f"{folder}/rows", f"{folder}/marks").awaitTermination()
+    return spark.read.schema("page_id bigint, items bigint").parquet(f"{folder}/rows/*")
+
+
 # Models ---------------------------------------------------------------------------------------------------------------
 
 
@@ -291,7 +575,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         models.save(models.Model(learned), f"{folder}/model.json")
         models.save(models.load(f"{folder}/model.json"), f"{folder}/model.db")
         again = models.load(f"{folder}/model.db").rules
-    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"], columns=replay.NEEDED), again)
+    rows = replay.similar(table(spark, sf_dir, "pages"), again)
     return rows.select("page_id", text.compose(F.col("value")).alias("heading"))
 
 
@@ -301,7 +585,7 @@ def rules_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.set_rule_aliases({session.rules[0].stack_id: "title"})
     session.keep_rules([session.rules[0].stack_id])
     session.remove_rules([])
-    rows = replay.similar(html.nodes(table(spark, sf_dir, "pages"), names=["h1"], columns=replay.NEEDED), session.rules)
+    rows = replay.similar(table(spark, sf_dir, "pages"), session.rules)
     return rows.groupBy("alias").agg(F.countDistinct("page_id").alias("pages"))
 
 
@@ -326,6 +610,11 @@ def typed_sql(kind: str, source: str, key: str, expression: str) -> str:
     return f"select {key}, (generate_subscripts(m, 1) - 1)::int as pos, unnest(m) as value from (select {key}, regexp_extract_all({expression}, {quoted(typed.PATTERNS[kind])}) as m from {source})"
 
 
+ITEM_SQL = "'Item ' || p_partkey || ' ' || p_name"
+PRICE_SQL = "'$' || cast(cast(p_retailprice as decimal(12,2)) as varchar)"
+NTH_SQL = "row_number() over (partition by p_size order by p_partkey) as i, count(*) over (partition by p_size) as m"
+
+
 DOCUMENT_TYPES = ["email", "phone", "percentage", "number", "mention", "ip_address"]
 ORDER_TYPES = ["price", "url", "date", "time", "rating", "hashtag", "zip_code"]
 
@@ -366,6 +655,41 @@ def oracle_sql() -> dict[str, str]:
         "meta_tags": "select n_nationkey::bigint as page_id, unnest(['standard', 'standard', 'og', 'twitter']) as bucket, unnest(['title', 'description', 'title', 'card']) as name, unnest([n_name, 'about ' || n_name, 'og ' || n_name, 'tw ' || n_nationkey]) as content from nation",
         "json_ld": "select n_nationkey::bigint as page_id, n_name as name, n_nationkey::bigint as id from nation",
         "microdata": "select n_nationkey::bigint as page_id, 'Place' as type, unnest(['name', 'code']) as property, unnest([n_name, cast(n_nationkey as varchar)]) as value from nation",
+        "fuzzy_texts": "select p_partkey, unnest(['case', 'end', 'start', 'none']) as kind, unnest([1.0, round(2.0 * n / (2 * n + 4), 4), round(2.0 * (n - 5) / (2 * n), 4), 0.0])::double as ratio, unnest([true, true, 2.0 * (n - 5) / (2 * n) >= 0.8, false]) as alike from (select p_partkey, length(p_name) as n from part)",
+        "smart_extract": f"select page_id, {decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")} as title, nullif(len(regexp_extract_all(html, '<li>')), 0)::int as items, null::varchar as next, null::int as total_pages from pages",
+        "items_similar": f"select p_size::bigint as page_id, unnest(['name', 'price']) as alias, unnest([{ITEM_SQL}, {PRICE_SQL}]) as value from part where p_size % 2 = 1",
+        "items_fuzzy": f"select p_size::bigint as page_id, unnest(['name', 'price']) as alias, unnest([{ITEM_SQL}, {PRICE_SQL}]) as value from part",
+        "items_exact": f"select p_size::bigint as page_id, unnest(['name', 'price']) as alias, unnest([{ITEM_SQL}, {PRICE_SQL}]) as value from (select *, {NTH_SQL} from part where p_size % 2 = 1) where i = least(m, 3)",
+        "items_in_order": f"select p_size::bigint as page_id, string_agg({ITEM_SQL} || '|' || {PRICE_SQL}, '|' order by p_partkey) as all_values from part where p_size % 2 = 1 group by all",
+        "items_distinct": f"select page_id, string_agg(name, '|' order by p_partkey) || '|' || string_agg(price, '|' order by p_partkey) filter (where nth = 1) as all_values from (select p_size::bigint as page_id, p_partkey, {ITEM_SQL} as name, {PRICE_SQL} as price, row_number() over (partition by p_size, cast(p_retailprice as decimal(12,2)) order by p_partkey) as nth from part where p_size % 2 = 1) group by page_id",
+        "items_either": "select p_size::bigint as page_id, unnest(['similar', 'exact']) as how, unnest([2 * count(*), 2])::int as n from part where p_size % 2 = 1 group by p_size",
+        "items_from_model": f"select page_id, 'price' as alias, string_agg(price, '|' order by p_partkey) as prices from (select p_size::bigint as page_id, p_partkey, {PRICE_SQL} as price from part where p_size % 2 = 1) group by page_id",
+        "items_elsewhere": f"select p_size::bigint as page_id, {PRICE_SQL} as value from (select *, {NTH_SQL} from part) where m >= 2",
+        "items_regrouped": f"select p_size::bigint as page_id, {ITEM_SQL} as name, {PRICE_SQL} as price from (select *, {NTH_SQL} from part) where m >= 2",
+        "similar_elements": f"select p_size::bigint as page_id, p_partkey::bigint as item from (select *, {NTH_SQL} from part) where i > 1",
+        "adaptive_best": "select n_nationkey::bigint as page_id, 'heading' as identifier, n_name as value from nation",
+        "adaptive_built": "select n_nationkey::bigint as page_id, 'heading' as alias, n_name as value from nation",
+        "adaptive_fallback": "select n_nationkey::bigint as page_id, 'heading' as alias, n_name as found from nation",
+        "rules_without_fallback": "select n_nationkey::bigint as page_id, 'heading' as alias, n_name as found from nation where n_nationkey % 2 = 0",
+        "signature_store": "select * from (values ('a.com', 'x', 'h1', 0), ('b.com', 'z', 'i', 0)) t(domain, identifier, tag, after_clearing)",
+        "page_summary": "select n_nationkey::bigint as page_id, n_name as name, 'og ' || n_name as og_title, cast(n_nationkey as varchar) as code, 'https://www.example.com/page/' || (n_nationkey + 2) as next, (n_nationkey + 1)::int as current from nation",
+        "structured": "select n_nationkey::bigint as page_id, n_nationkey::bigint as id, 'about ' || n_name as description, n_name as name from nation",
+        "patterns_found": "select o_custkey as page_id, count(*)::int as rows, 'priority' as second from orders group by all",
+        "linked_pages": "select n_nationkey::bigint as page_id, 0 as pos, 'https://www.example.com/page/' || n_nationkey as page_url from nation",
+        "markup_text": "select n_nationkey::bigint as page_id, unnest(['p', 'li', 'li', 'li', 'section']) as name, unnest([2, 3, 4, 5, 2]) as depth, unnest([0, 0, 0, 0, 0]) as tag_ord, unnest(['AéB' || n_name || ' bold ' || n_nationkey, 'onetwothree', 'twothree', 'three', 'open ' || n_name]) as text_raw, unnest(['AéB' || n_name || '  ' || n_nationkey, 'one', 'two', 'three', 'open ' || n_name]) as own_text, unnest(['AéB ' || n_name || ' ' || n_nationkey, 'one', 'two', 'three', 'open ' || n_name]) as own_text_sp from nation",
+        "page_strings": "select n_nationkey::bigint as page_id, unnest(['doctype', 'comment', 'script', 'declaration']) as kind, unnest(['html', ' no ' || n_nationkey || ' ', 'var a = \"<b>\";', 'if x']) as leaf from nation",
+        "markup": "select n_nationkey::bigint as page_id, '<p title=\"t&amp;' || n_nationkey || '\">AéB<br/>' || n_name || ' <b>bold</b> ' || n_nationkey || '</p>' as markup from nation",
+        "microdata_many": "select n_nationkey::bigint as page_id, 'v' as property, unnest([0, 1]) as pos, unnest([cast(n_nationkey as varchar), n_name]) as value from nation",
+        "session_emails": "select n_nationkey::bigint as page_id, 'n' || n_nationkey || '@example.com' as emails, '555-123-' || lpad(cast(n_nationkey as varchar), 4, '0') as phones, '$' || n_nationkey || '.50' as prices from nation",
+        "page_regex": "select n_nationkey::bigint as page_id, 0 as pos, n_nationkey || '|example' as found, lpad(cast(n_nationkey as varchar), 4, '0') as line from nation",
+        "title_of_bytes": f"select page_id, {decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")} as title from pages",
+        "normalized": "select p_partkey, 'fi 1 ' || p_name as plain from part",
+        "first_links": f"select page_id, {decoded("regexp_extract(a, '>(.*)</a>', 1)")} as label from (select page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">.*?</a>')[:2]) as a from pages)",
+        "links_called": "select page_id, count(*) as links from (select page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">the</a>')) as a from pages) group by page_id",
+        "axes": "select * from (select p_size::bigint as page_id, unnest(['children', 'descendants', 'parent', 'ancestors', 'next_siblings', 'previous_siblings']) as axis, unnest([3 * n, 3 * n, n + 1, 3 * n + 8, n * (n - 1) / 2, n * (n - 1) / 2])::bigint as n from (select p_size, count(*) as n from part group by p_size)) where n > 0",
+        "css_places": f"select p_size::bigint as page_id, unnest(list_filter([case when i = m then 'last' end, case when i = 2 then 'second' end, case when p_partkey % 10 = 1 then 'linked' end], lambda x: x is not null)) as kind, p_partkey::bigint as item from (select *, {NTH_SQL} from part)",
+        "sql_functions": "select n_nationkey::bigint as page_id, 'h2' as tag, (case when n_nationkey % 2 = 0 then 3 else 4 end)::int as depth, n_name as heading, 1.0::double as ratio, 'example.com' as domain, 'https://www.example.com/x' as link from nation",
+        "streamed_lists": "select page_id, len(regexp_extract_all(html, '<li>'))::bigint as items from pages where html like '%<li>%'",
         "pagination": "select n_nationkey::bigint as page_id, 'https://www.example.com/page/' || (n_nationkey + 2) as next, 'https://www.example.com/page/' || n_nationkey as prev, (n_nationkey + 1)::int as current, (n_nationkey + 2)::int as total_pages, 2::int as n_pages from nation",
     }
 
@@ -375,5 +699,7 @@ def queries() -> dict[str, Query]:
         typed_counts, parse_price, clean_default, sentences, truncate_200, regex_extract, regex_groups, regex_named, regex_replace, domain_extract, fuzzy_texts, page_title, anchors, ad_by_class,
         list_items_css, html_lists, h1_similar, h1_exact, h1_by_alias, h1_fuzzy, fingerprint, flexible_headings, adaptive_best, similar_elements, repeated_siblings, smart_extract, tables_long,
         simple_tables, table_csv, cards, grouped_items, meta_tags, json_ld, microdata, pagination, model_roundtrip, rules_kept,
+        items_similar, items_exact, items_fuzzy, items_in_order, items_distinct, items_either, items_from_model, items_elsewhere, items_regrouped, adaptive_built, adaptive_fallback, rules_without_fallback, signature_store,
+        page_summary, structured, patterns_found, linked_pages, markup_text, page_strings, markup, microdata_many, session_emails, page_regex, title_of_bytes, normalized, first_links, links_called, axes, css_places, sql_functions, streamed_lists,
     ]
     return {**{f"typed_{k}": exploded(k) for k in DOCUMENT_TYPES}, **{f"typed_{k}": exploded_orders(k) for k in ORDER_TYPES}, **{f.__name__: f for f in named}}

@@ -7,23 +7,30 @@ on elements is plain DataFrame code, and what needs only one page never leaves i
 
 The tree is what a tokenizer with a stack gives: no end tag is implied, an end tag closes up to the latest open element of
 its name or is ignored, void elements close at once, and all that is open closes at the end. Before parsing, references
-are decoded and the text is stripped and brought to compatibility decomposition (both can be turned off).
+are decoded and the text is stripped and brought to compatibility decomposition (both can be turned off). Pages stored as
+bytes are decoded first: by their byte order mark, their declared charset, UTF-8, or else Windows-1252.
+
+A page of any markup gives a tree: what the tokenizer rejects (marked sections of unknown names) is read as a declaration.
+Time and memory grow with the page; only ``chain``, ``path`` and the texts of nested elements are longer the deeper it is.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import html
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
-from html.entities import html5
+from html.entities import codepoint2name, html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..deploy import ship
+from ..deploy import ship, spread
 
 # Elements without content, attributes with several values, elements whose strings have a type of their
 # own, elements that keep white space, and the largest page to fetch in bytes.
@@ -48,13 +55,30 @@ class Text(str):
 
 
 class Element:
-    __slots__ = ("_digest", "attrs", "children", "name", "number", "parent")
+    __slots__ = ("_digest", "_ranks", "attrs", "children", "name", "number", "parent")
 
     def __init__(self, name: str, attrs: dict[str, str | list[str]], parent: Element | None) -> None:
         self.name, self.attrs, self.parent = name, attrs, parent
         self.children: list[Element | Text] = []
         self.number = -1
         self._digest: bytes | None = None
+        self._ranks: dict[int, int] | None = None
+
+    # Attributes, as in a mapping
+
+    def __getitem__(self, name: str) -> str | list[str]:
+        return self.attrs[name]
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.attrs
+
+    def get(self, name: str, default: str | list[str] | None = None) -> str | list[str] | None:
+        return self.attrs.get(name, default)
+
+    def get_list(self, name: str) -> list[str]:
+        """An attribute's values; none if it isn't there."""
+        value = self.attrs.get(name, [])
+        return value if isinstance(value, list) else [value]
 
     @property
     def elements(self) -> list[Element]:
@@ -103,6 +127,34 @@ class Element:
             e = e.children[0]
         return str(e)
 
+    def markup(self, formatter: str | None = "minimal", pretty: bool = False) -> str:
+        """The element as HTML (of the document, all in it). See ``escaped`` for formatters; pretty: a line for each part."""
+        out: list[str] = []
+        stack: list[tuple[Element | Text | str, int]] = [(self, 0)]
+        put = (lambda part, depth: out.append(" " * depth + part + "\n")) if pretty else lambda part, depth: out.append(part)
+        while stack:
+            part, depth = stack.pop()
+            if isinstance(part, Element):
+                if part.name == DOCUMENT:
+                    stack.extend((c, depth) for c in reversed(part.children))
+                    continue
+                attrs = "".join(f" {k}={quoted(' '.join(v) if isinstance(v, list) else v, formatter)}" for k, v in part.attrs.items())
+                if part.name in VOID and not part.children:
+                    put(f"<{part.name}{attrs}/>", depth)
+                    continue
+                put(f"<{part.name}{attrs}>", depth)
+                stack.append((f"</{part.name}>", depth))
+                stack.extend((c, depth + 1) for c in reversed(part.children))
+            elif isinstance(part, Text):
+                text = LEAVES[part.kind].format(part) if part.kind in LEAVES else str(part) if part.kind in ("script", "style") else escaped(part, formatter)
+                if not pretty:
+                    out.append(text)
+                elif text.strip():
+                    put(text.strip(), depth)
+            else:
+                put(part, depth)
+        return "".join(out)
+
     def classes(self) -> list[str]:
         value = self.attrs.get("class", [])
         return value if isinstance(value, list) else [value]
@@ -118,6 +170,20 @@ class Element:
             e = e.parent
         return out[::-1]
 
+    def rank(self) -> int:
+        """Place among the siblings of its name; the first of equal ones."""
+        up = self.parent
+        if up is None:
+            return 0
+        if up._ranks is None:
+            own = up.elements
+            many, nth, first = Counter(c.name for c in own), Counter(), {}
+            up._ranks = {}
+            for c in own:
+                up._ranks[id(c)] = first.setdefault((c.name, c.digest()), nth[c.name]) if many[c.name] > 1 else 0
+                nth[c.name] += 1
+        return up._ranks[id(self)]
+
     def digest(self) -> bytes:
         """Equal for elements of equal name, attributes and content."""
         if self._digest is None:
@@ -131,6 +197,28 @@ class Element:
         return self._digest
 
 
+# How leaves other than text are written.
+LEAVES = {"comment": "<!--{}-->", "doctype": "<!DOCTYPE {}>", "cdata": "<![CDATA[{}]]>", "pi": "<?{}>", "declaration": "<!{}>"}
+
+
+def escaped(text: str, formatter: str | None = "minimal") -> str:
+    """Text for markup. minimal: & < >; html: named references for all characters that have one; None: as it is."""
+    if formatter is None:
+        return str(text)
+    if formatter not in ("minimal", "html"):
+        raise ValueError("formatter is 'minimal', 'html' or None")
+    text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return text if formatter == "minimal" else "".join(f"&{codepoint2name[ord(c)]};" if ord(c) > 127 and ord(c) in codepoint2name else c for c in text)
+
+
+def quoted(value: str, formatter: str | None = "minimal") -> str:
+    """An attribute's value in the quotes that it doesn't hold; if it holds both kinds, double ones are written as references."""
+    value = escaped(value, formatter)
+    if '"' not in value:
+        return f'"{value}"'
+    return f"'{value}'" if "'" not in value else '"' + value.replace('"', "&quot;") + '"'
+
+
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
@@ -212,6 +300,14 @@ class _Builder(HTMLParser):
     def handle_pi(self, data: str) -> None:
         self._leaf(data, "pi")
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # of a name that the tokenizer doesn't know
+            stop = self.rawdata.find(">", i)
+            self.unknown_decl(self.rawdata[i + 3 : stop if stop >= 0 else None])
+            return stop + 1 if stop >= 0 else len(self.rawdata)
+
 
 def normalize(value: str) -> str:
     """Stripped, in compatibility decomposition."""
@@ -233,48 +329,70 @@ LEVEL = "struct<tag:string,cls:array<string>,style:string,node_id:int>"
 COLUMNS = {
     "page_id": "bigint", "url": "string", "node_id": "int", "parent_id": "int", "last_desc": "int", "depth": "int", "name": "string", "attrs": "map<string,array<string>>",
     "cls": "array<string>", "style": "string", "path": "string", "chain": f"array<{LEVEL}>", "child_tags": "array<string>", "tag_ord": "int", "text_raw": "string", "text_strip": "string",
-    "own_text": "string", "own_text_sp": "string", "single_string": "string", "shash": "string",
+    "own_text": "string", "own_text_sp": "string", "single_string": "string", "shash": "string", "markup": "string",
 }
 _LEVEL = pa.struct([("tag", pa.string()), ("cls", pa.list_(pa.string())), ("style", pa.string()), ("node_id", pa.int32())])
 _SCHEMA = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_desc", pa.int32()), ("depth", pa.int32()),
     ("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.list_(pa.string()))), ("cls", pa.list_(pa.string())), ("style", pa.string()), ("path", pa.string()),
     ("chain", pa.list_(_LEVEL)), ("child_tags", pa.list_(pa.string())), ("tag_ord", pa.int32()), ("text_raw", pa.string()), ("text_strip", pa.string()),
-    ("own_text", pa.string()), ("own_text_sp", pa.string()), ("single_string", pa.string()), ("shash", pa.string()),
+    ("own_text", pa.string()), ("own_text_sp", pa.string()), ("single_string", pa.string()), ("shash", pa.string()), ("markup", pa.string()),
 ])
 
 
-def _rank(e: Element) -> int:
-    """Place among the siblings of its name; the first of equal ones."""
-    same = [c for c in e.parent.elements if c.name == e.name]
-    mine = e.digest() if len(same) > 1 else b""
-    return next(i for i, c in enumerate(same) if c is e or len(same) > 1 and c.digest() == mine)
-
-
 def _rows(page_id: int | None, url: str | None, root: Element, wanted: Callable[[Element], bool], columns: list[str]) -> Iterator[tuple]:
     order = list(root.walk())
-    last = [e.number for e in order]
+    last, depth = [e.number for e in order], [0] * len(order)
+    for e in order:
+        if e.parent.number >= 0:
+            depth[e.number] = depth[e.parent.number] + 1
     for e in reversed(order):
         if e.parent.number >= 0:
             last[e.parent.number] = max(last[e.parent.number], last[e.number])
-    chains: dict[int, list[dict]] = {-1: []}
-    paths: dict[int, str] = {}
+    levels: dict[int, dict] = {}
+
+    def level(e: Element) -> dict:
+        if e.number not in levels:
+            levels[e.number] = {"tag": e.name, "cls": e.classes(), "style": e.style(), "node_id": e.number}
+        return levels[e.number]
+
     made: dict[str, Callable[[Element], object]] = {
-        "page_id": lambda e: page_id, "url": lambda e: url, "node_id": lambda e: e.number, "parent_id": lambda e: e.parent.number, "last_desc": lambda e: last[e.number], "depth": lambda e: paths[e.number].count("/"),
-        "name": lambda e: e.name, "attrs": lambda e: [(k, v if isinstance(v, list) else [v]) for k, v in e.attrs.items()], "cls": Element.classes, "style": Element.style, "path": lambda e: paths[e.number],
-        "chain": lambda e: chains[e.number], "child_tags": lambda e: [c.name for c in e.elements], "tag_ord": _rank, "text_raw": Element.text, "text_strip": Element.tight, "own_text": Element.own,
-        "own_text_sp": Element.own_spaced, "single_string": Element.single, "shash": lambda e: e.digest().hex(),
+        "page_id": lambda e: page_id, "url": lambda e: url, "node_id": lambda e: e.number, "parent_id": lambda e: e.parent.number, "last_desc": lambda e: last[e.number], "depth": lambda e: depth[e.number],
+        "name": lambda e: e.name, "attrs": lambda e: [(k, v if isinstance(v, list) else [v]) for k, v in e.attrs.items()], "cls": Element.classes, "style": Element.style, "path": lambda e: "/".join(x.name for x in e.path()),
+        "chain": lambda e: [level(x) for x in e.path()], "child_tags": lambda e: [c.name for c in e.elements], "tag_ord": Element.rank, "text_raw": Element.text, "text_strip": Element.tight, "own_text": Element.own,
+        "own_text_sp": Element.own_spaced, "single_string": Element.single, "shash": lambda e: e.digest().hex(), "markup": Element.markup,
     }
     picked = [made[c] for c in columns]
     for e in order:
-        up = e.parent.number
-        if "chain" in columns:
-            chains[e.number] = [*chains[up], {"tag": e.name, "cls": e.classes(), "style": e.style(), "node_id": e.number}]
-        paths[e.number] = f"{paths[up]}/{e.name}" if up >= 0 else e.name
         if wanted(e):
             yield tuple(get(e) for get in picked)
 
 
+# Byte order marks, longest first.
+MARKS = [(codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")]
+DECLARED = re.compile(rb"""<\?xml[^>]{0,200}?encoding\s*=\s*["']([\w.:-]+)|<meta[^>]{0,500}?charset\s*=\s*["']?([\w.:-]+)""", re.I)
+
+
+def decode(body: bytes, charset: str | None = None) -> str:
+    """By the byte order mark, the charset that came with the bytes, the one that their start declares, UTF-8, or Windows-1252.
+
+    A charset counts if it is known and fits all bytes; Windows-1252 takes what is left, with the replacement character for
+    the bytes it doesn't have.
+    """
+    for mark, name in MARKS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
+    found = DECLARED.search(body[:4096])
+    declared = (found[1] or found[2]).decode("ascii", "replace") if found else None
+    for name in (charset, declared, "utf-8"):
+        try:
+            if name:
+                return body.decode(name)
+        except (LookupError, UnicodeDecodeError, ValueError):
+            continue
+    return body.decode("windows-1252", "replace")
+
+
 def page_batches(batches: Iterator[pa.RecordBatch], rows_of: Callable, schema: pa.Schema, many: int = 2048) -> Iterator[pa.RecordBatch]:
     """Rows that ``rows_of(page_id, url, html)`` makes of each page, as Arrow batches of bounded length."""
     held: list[tuple] = []
@@ -282,7 +400,8 @@ def page_batches(batches: Iterator[pa.RecordBatch], rows_of: Callable, schema: p
     for batch in batches:
         ids, urls, pages = (batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html"))
         for page_id, url, page in zip(ids, urls, pages, strict=True):
-            held.extend(rows_of(page_id.as_py(), url.as_py(), page.as_py() or ""))
+            text = page.as_py() or ""
+            held.extend(rows_of(page_id.as_py(), url.as_py(), decode(text) if isinstance(text, bytes) else text))
             while len(held) >= many:
                 yield flush(held[:many])
                 held = held[many:]
@@ -291,23 +410,52 @@ def page_batches(batches: Iterator[pa.RecordBatch], rows_of: Callable, schema: p
 
 
 def pages_of(pages: DataFrame) -> DataFrame:
-    """page_id, url and html. Stored pages of any length are parsed whole; MAX_BYTES bounds what is fetched."""
+    """page_id, url and html (text or bytes). Stored pages of any length are parsed whole; MAX_BYTES bounds what is fetched."""
     ship(pages.sparkSession)
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"))
+    page = F.col("html") if pages.schema["html"].dataType.typeName() == "binary" else F.col("html").cast("string")
+    return spread(pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), page.alias("html")))
 
 
-def nodes(pages: DataFrame, names: list[str] | None = None, columns: list[str] | None = None, unescape: bool = True) -> DataFrame:
-    """A row for each element of each page; only those called names, and only those columns, if given.
+def nodes(pages: DataFrame, names: list[str] | None = None, columns: list[str] | None = None, unescape: bool = True, chosen: Callable[[Element], list[Element]] | None = None) -> DataFrame:
+    """A row for each element of each page; only those called names, those that chosen picks of the page, and those columns.
 
     The optimizer can't look into the parser, so a caller that needs few columns says which.
     """
     keep = frozenset(names) if names else None
     wanted = (lambda e: e.name in keep) if keep else (lambda e: True)
-    chosen = list(COLUMNS) if columns is None else list(columns)
-    schema = pa.schema([_SCHEMA.field(c) for c in chosen])
+    picked = list(COLUMNS) if columns is None else list(columns)
+    schema = pa.schema([_SCHEMA.field(c) for c in picked])
+
+    def rows(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
+        root = parse(page, unescape)
+        if chosen is None:
+            return _rows(page_id, url, root, wanted, picked)
+        numbers = {e.number for e in chosen(root)}
+        return _rows(page_id, url, root, lambda e: e.number in numbers and wanted(e), picked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return page_batches(batches, rows, schema)
+
+    return pages_of(pages).mapInArrow(run, ", ".join(f"{c} {COLUMNS[c]}" for c in picked))
+
+
+def strings(pages: DataFrame, unescape: bool = True) -> DataFrame:
+    """A row for each leaf of each page, in document order: page_id, pos, parent_id, kind (see Text), text."""
+    schema = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("parent_id", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
+
+    def leaves(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
+        root = parse(page, unescape)
+        pos, stack = 0, [(c, -1) for c in reversed(root.children)]
+        while stack:
+            part, above = stack.pop()
+            if isinstance(part, Element):
+                stack.extend((c, part.number) for c in reversed(part.children))
+            else:
+                yield page_id, pos, above, part.kind, str(part)
+                pos += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return page_batches(batches, lambda i, u, h: _rows(i, u, parse(h, unescape), wanted, chosen), schema)
+        return page_batches(batches, leaves, schema)
 
-    return pages_of(pages).mapInArrow(run, ", ".join(f"{c} {COLUMNS[c]}" for c in chosen))
+    return pages_of(pages).mapInArrow(run, "page_id bigint, pos int, parent_id int, kind string, text string")
