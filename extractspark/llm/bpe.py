@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import column, segments, slices
+from .common import column, lean, segments, slices
 
 #: Pre-tokens that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 64
@@ -152,7 +152,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True) ->
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -165,4 +165,4 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
             texts = [code.decode(np.asarray(x or [], "<u4").tobytes()).decode(errors="replace") for x in column(batch, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -12,42 +12,69 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is empty (a test session) a local folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="extractspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+#: The folders made inside each ``scratch`` that is open, the innermost last.
+_open: list[list[str]] = []
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/extractspark/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/extractspark/{label}-{uuid.uuid4().hex}"
+    for made in _open[-1:]:
+        made.append(path)
+    return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders that were made inside, when it is left: what they fed must have been written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop_folder(spark, path)
+
+
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write df below the shared folder and read it again: the lineage ends there."""
-    path = new_folder(df.sparkSession, label)
+    path = path or new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: str = "16m") -> Iterator[None]:
-    """Arrow batches of that many bytes at most for what runs inside; the session's own setting comes back."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores as it takes to be unlike all others."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+try:
+    _give_back = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _give_back = None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and what they keep the others lack."""
+    pa.default_memory_pool().release_unused()
+    if _give_back:
+        _give_back(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with its freed memory given back at a task's end."""
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return ended
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

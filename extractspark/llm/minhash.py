@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import column, slices, small_batches, written
+from .common import column, lean, slices, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: Linked if FRACTION[1] * intersection >= FRACTION[0] * union.
@@ -189,7 +189,7 @@ def described(docs: DataFrame) -> DataFrame:
                 packed[i] = keys[r].tobytes()
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(packed, pa.binary())], names=["doc_id", "n", "d1", "d2", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, packed binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def banded(classes: DataFrame) -> DataFrame:
                 keys = np.frombuffer(b"".join(column(part, "packed").to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(column(part, "id").to_numpy(), BANDS))], names=["key", "id"])
 
-    return classes.select("id", "packed").mapInArrow(run, "key long, id long")
+    return classes.select("id", "packed").mapInArrow(lean(run), "key long, id long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
     # Of a size unknown beforehand: merged, at any size, so that the plan doesn't turn with the input.
-    return texts.join(ids.hint("merge"), "id").mapInArrow(run, "id long, shingles binary")
+    return texts.join(ids.hint("merge"), "id").mapInArrow(lean(run), "id long, shingles binary")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(c > 0 and FRACTION[1] * c >= FRACTION[0] * (len(s) + len(t) - c))
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "n", "common", "linked"])
 
-    found = with_sets(pairs, sets).mapInArrow(run, "a long, b long, n long, common long, linked boolean")
+    found = with_sets(pairs, sets).mapInArrow(lean(run), "a long, b long, n long, common long, linked boolean")
     return found.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("common").alias("common"), F.max("linked").alias("linked"))
 
 
@@ -269,7 +269,7 @@ def deltas(ties: DataFrame, sets: DataFrame) -> DataFrame:
                 beyond.append(t[own].tobytes())
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), *(pa.array(v, pa.int64()) for v in (which, size, n, common)), pa.array(lacked, pa.binary()), pa.array(beyond, pa.binary())], names=["a", "b", "lead_set", "size", "n", "common", "lacked", "beyond"])
 
-    return with_sets(ties, sets).mapInArrow(run, "a long, b long, lead_set long, size long, n long, common long, lacked binary, beyond binary")
+    return with_sets(ties, sets).mapInArrow(lean(run), "a long, b long, lead_set long, size long, n long, common long, lacked binary, beyond binary")
 
 
 def _block_links(asks: list[dict], members: list[dict]) -> Iterator[tuple[int, int]]:
@@ -323,11 +323,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
-    with small_batches(docs.sparkSession):
-        return _near_duplicates(docs)
-
-
-def _near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(described(docs), "described")
     known = rows.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("packed").alias("packed")), "classes")

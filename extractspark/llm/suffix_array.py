@@ -17,7 +17,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of text (non-negative integers) in their order; a suffix precedes those it begins."""
     if len(text) < 2:
         return np.arange(len(text))
-    return _sorted(np.append(text.astype(np.int64) + 1, 0), int(text.max()) + 2)[1:]
+    ended = np.zeros(len(text) + 1, np.uint16 if int(text.max()) < 65535 else np.int64)
+    ended[:-1] = text
+    ended[:-1] += 1
+    return _sorted(ended, int(text.max()) + 2)[1:]
 
 
 def _sorted(text: np.ndarray, letters: int) -> np.ndarray:
@@ -182,7 +185,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, firsts: np.ndarray, lim
     starting from what the place before had, less one; all parts are walked at the same time.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int64 if n > 1 << 31 else np.int32)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int16 if limit < 1 << 15 else np.int32)
     at, stops = firsts.astype(np.int64), np.append(firsts[1:], n).astype(np.int64)

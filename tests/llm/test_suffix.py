@@ -92,6 +92,39 @@ def test_replacing_keeps_columns_and_whole_characters(spark, odd_docs, odd_rows)
     assert not any("�" in (r["text"] or "") for r in done.collect())
 
 
-def test_names_that_clash_are_refused(spark):
-    with pytest.raises(ValueError, match="removed"):
-        suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, removed int"))
+def test_names_that_clash(spark):
+    done = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a", 2, "b")], "doc_id long, text string, Removed int, kept_bytes string"))
+    assert done.columns == ["doc_id", "text", "Removed", "kept_bytes", "removed_", "kept_bytes_"] and done.first()["kept_bytes_"] == b"a"
+
+
+def test_messages_grow_with_the_text():
+    for total in (0, 10**8, 10**11, 10**14):
+        block, shard = suffix_dedup.sizes(total)
+        assert block >= suffix_dedup.BLOCK and shard >= suffix_dedup.SHARD
+        assert (total / block) * (total / shard) <= 1.01 * total / suffix_dedup.MESSAGE + 1
+
+
+@pytest.mark.parametrize("work", [1, 2000, 1 << 20])
+def test_ranges_of_a_shard(some_docs, work, monkeypatch):
+    """One range at a time, some, or all: the same strings go."""
+    docs = [(r["doc_id"], (r["text"] or "").encode()) for r in some_docs.collect()][:60]
+    data, bounds = b"".join(t for _, t in docs), np.cumsum([0] + [len(t) for _, t in docs])
+    block = suffix_dedup.Block.__new__(suffix_dedup.Block)
+    block.data, block.bounds, block.ids = data, bounds, np.array([i for i, _ in docs])
+    states = {s: np.ones(len(p), np.uint8) for s, p, *_ in suffix_dedup._fingerprints(block, 2, 50)[0]}
+    messages = list(suffix_dedup._pieces(block, states, 2, 50))
+    found = lambda: sorted((a, b) for _, m in messages for _, blob in suffix_dedup._removed([(0, m)], 50) for a, b in zip(*(x.tolist() for x in suffix_dedup._unzip(blob, "<u4", "<u4")), strict=True))
+    want = {x for a, n in found() for x in range(a, a + n)}
+    monkeypatch.setattr(suffix_dedup, "WORK", work)
+    assert want and {x for a, n in found() for x in range(a, a + n)} == want
+
+
+def test_one_passage_in_every_block(spark):
+    """Whatever surrounds it, and with each way to treat a hot minimizer; shards stay small."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, f"{word()} {word()} {passage} {word()} {word()}" if i % 3 else passage) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (0, 50, 4096):
+        compare(docs, hot=hot, block_bytes=1500, shard_bytes=4000)
