@@ -2,19 +2,25 @@
 
 Entities: e-mail addresses, telephone, card and social security numbers, IPv4 addresses, secrets (access keys, assigned
 passwords and tokens) and persons' names after a form of address or with a known given name. A surrogate is the image of
-the entity under a keyed permutation of the strings of its format: a Feistel network over its letters, another over its
-digits, both keyed by the format. A permutation can't send two entities to one surrogate, on any partition or executor,
-so coreference and distinctness need no exchange between rows. Values that a format excludes are walked past along the
-permutation, which stays one: reserved address ranges, area codes, and names that the lists of given names hold.
+the entity under a keyed permutation of the canonical values of its type: a Feistel network over its letters, another
+over its digits. The canonical value leaves out how the entity is written: the separators and the country code of an
+American number, the blanks of a card, the case of an address or a name. The surrogate is then written in the format that
+was found, so "+1 (988) 555-2485" and "988-555-2485" stay one number. A permutation can't send two entities to one
+surrogate, on any partition or executor, so coreference and distinctness need no exchange between rows. Values that a
+type excludes are walked past along the permutation, which stays one: reserved address ranges, area codes, and names that
+the lists of given names hold. Cards are numbers of a known issuer with a right check digit, and stay that.
 
 Names are replaced part by part, so "Ms Lopez" and "Maria Lopez" keep their common surname. Listed given names change
 places within their gender and script; other parts keep the pattern of vowels and consonants, the script, the case and
-the last letter, which carries the gender in many languages. ``collisions`` checks a table of entities for two originals
-with one surrogate and for surrogates that are originals of others.
-
-Defined results: a null text stays null, an empty one empty, neither has entities; repeated rows get equal results; a
-null doc_id stays null; an empty table gives no rows; further columns are kept. Entities never overlap: the first to
-start wins, then the earlier type in the list above.
+the last letter, which carries the gender in many languages. ``collisions`` compares canonical values: it finds two
+entities with one surrogate, an entity with two, and surrogates that are other entities; ``anonymise_checked`` raises for
+the first two over the whole table.
+
+Defined results: a null text stays null, an empty one empty, neither has entities; a text of any length is searched whole,
+in one task, and an entity is never longer than a line's run of its characters; repeated rows get equal results; a null
+doc_id stays null; an empty table gives no rows; further columns are kept, whatever they hold: where one has the name of
+the list of entities, that list's name gets underscores until it is free. Entities never overlap: of two that do, the
+first to start wins, then the earlier type in the list above, then the longer one.
 """
 
 from __future__ import annotations
@@ -27,9 +33,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..deploy import ship
-from .common import column, slices
+from .common import free_name, lean, slices, written
 
 EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 NUMBER = re.compile(r"[+(]?\d[\d .()\-]*\d")
@@ -41,18 +48,22 @@ SSN = re.compile(rf"{BEFORE}\d{{3}}-\d{{2}}-\d{{4}}{AFTER}")
 IPV4 = re.compile(rf"{BEFORE}(?<!\d\.)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}{AFTER}(?!\.\d)")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
 ASSIGNED = re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd)|pwd|secret|token|api[_-]?key)["']?\s*[=:]\s*["']?([^\s"']{5,}[^\s"'.,;:!?)\]])""")
-# Forms of address (f, m, or either) and given names by script and gender; the lists of a script have one length.
-ADDRESS = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Dr": "", "Prof": "", "Professor": "", "Doctor": "", "Господин": "m", "Госпожа": "f"}
+# Forms of address (they stay in the text, and say what gender they say) and given names by script and gender.
+ADDRESS = "Mr Mister Sir Herr Monsieur Señor Mrs Ms Miss Madam Frau Madame Mme Señora Dr Prof Professor Doctor Господин Госпожа Κύριος Κυρία".split()
 GIVEN = {
     ("latin", "f"): "Alice Anna Camille Carmen Charlotte Claire Clara Elena Emily Emma Grace Hannah Heidi Isabel Julia Laura Lucia Maria Sofia Sophie".split(),
     ("latin", "m"): "Andreas Antonio Carlos Charles David Diego Felix Hans Henri Jack James John Jonas Luis Lukas Marc Michael Paul Peter Thomas".split(),
     ("cyrillic", "f"): "Алина Анна Вера Дарья Екатерина Елена Ирина Мария Наталья Ольга".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Максим Николай Павел Сергей".split(),
 }
-ALPHABETS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ")}
+ALPHABETS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"), "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ")}
+SCRIPTS = {"cyrillic": re.compile("[Ѐ-ӿ]"), "greek": re.compile("[Ͱ-Ͽ]")}
+# issuers' first digits and lengths of card numbers, and the two-digit country codes (1 and 7 have one digit, others three).
+ISSUERS = re.compile(r"4\d{12}(?:\d{3}){0,2}|(?:5[1-5]|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d+|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11,16}|35(?:2[89]|[3-8]\d)\d{12,15}|6\d{15,18}")
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 LISTED = {name: (script, gender, i) for (script, gender), names in GIVEN.items() for i, name in enumerate(names)}
 LOWER_HEX, UPPER_HEX, LETTERS = "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz"
-_PART = r"[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]*(?:[-'’](?!s\b)[^\W\d_]+)*"
+_PART = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я][^\W\d_]*(?:[-'’](?!s\b)[^\W\d_]+)*"
 NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(ADDRESS)})\.?[ \t]+(?P<named>{_PART}(?:[ \t]+{_PART}){{0,2}})|(?P<given>{'|'.join(LISTED)})[ \t]+(?P<family>{_PART}))(?!\w)")
 
 
@@ -141,6 +152,32 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def is_card(text: str) -> bool:
+    """Whether an issuer's range and the check digit fit; other long numbers are left alone."""
+    digits = "".join(c for c in text if c.isdigit())
+    return luhn(digits) == 0 and ISSUERS.fullmatch(digits) is not None
+
+
+def dialled(text: str) -> tuple[str, str]:
+    """The country code and the other digits; American where no code is written."""
+    digits = "".join(c for c in text if c.isdigit())
+    if not text.startswith("+"):
+        return "1", digits
+    n = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+    return digits[:n], digits[n:]
+
+
+def canonical(kind: str, text: str) -> str:
+    """What is one and the same entity, however it is written."""
+    if kind == "phone":
+        return "+{} {}".format(*dialled(text))
+    if kind in ("card", "ssn"):
+        return "".join(c for c in text if c.isdigit())
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))
+    return " ".join(text.lower().split()) if kind in ("email", "person") else text
+
+
 class Surrogates:
     """The surrogate of each entity, by its type."""
 
@@ -152,29 +189,27 @@ class Surrogates:
         return getattr(self, f"_{kind}")(text)
 
     def _email(self, text: str) -> str:
-        local, _, domain = text.partition("@")
-        labels, _, top = domain.lower().rpartition(".")
+        local, _, domain = text.lower().partition("@")
+        labels, _, top = domain.rpartition(".")
         # The domain's surrogate doesn't depend on the mailbox: colleagues stay colleagues.
-        return f"{self.cipher.shaped(local, 'mailbox')}@{self.cipher.shaped(labels, 'domain')}.{top}"
+        made = f"{self.cipher.shaped(local, 'mailbox')}@{self.cipher.shaped(labels, 'domain')}.{top}"
+        return made if text == text.lower() else made.upper() if text == text.upper() else "".join(m.upper() if c.isupper() else m for c, m in zip(text, made, strict=True))
 
     def _phone(self, text: str) -> str:
-        digits = "".join(c for c in text if c.isdigit())
-        country = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
-        keep = len(country[1]) if country else 1 if text.startswith("+") else 0
-        shape = re.sub(r"\d", "0", text)
-        start, rest = digits[:keep], digits[keep:]
-        american = len(rest) == 10 and start in ("", "1")
+        country, rest = dialled(text)
+        american = country == "1" and len(rest) == 10
         usual = american and rest[0] >= "2" and rest[3] >= "2"
         while True:
-            rest = self.cipher.letters(rest, ["0123456789"] * len(rest), f"phone\0{start}\0{shape}")
+            rest = self.cipher.letters(rest, ["0123456789"] * len(rest), f"phone\0{country}")
             if not american or usual == (rest[0] >= "2" and rest[3] >= "2"):
-                return _put_digits(text, start + rest)
+                return _put_digits(text, (country if text.startswith("+") else "") + rest)
 
     def _card(self, text: str) -> str:
         digits = "".join(c for c in text if c.isdigit())
-        first, middle, check = digits[0], digits[1:-1], digits[-1]
+        keep = {"4": 1, "5": 2}.get(digits[0], 4)  # as many as tell the issuer
+        first, middle, check = digits[:keep], digits[keep:-1], digits[-1]
         fault = (int(check) - luhn(digits[:-1] + "0")) % 10
-        middle = self.cipher.letters(middle, ["0123456789"] * len(middle), f"card\0{first}\0{fault}\0{re.sub(r'\d', '0', text)}")
+        middle = self.cipher.letters(middle, ["0123456789"] * len(middle), f"card\0{first}\0{fault}")
         return _put_digits(text, f"{first}{middle}{(luhn(first + middle + '0') + fault) % 10}")
 
     def _ssn(self, text: str) -> str:
@@ -222,7 +257,7 @@ class Surrogates:
         if listed := _listed(text):
             made = self._given(listed)
             return made if text == listed else made.upper()
-        script = "cyrillic" if re.search("[Ѐ-ӿ]", text) else "latin"
+        script = next((name for name, letters in SCRIPTS.items() if letters.search(text)), "latin")
         vowels, consonants = ALPHABETS[script]
         places = [i for i, c in enumerate(text) if c.lower() in vowels + consonants]
         places = places[:-1] if len(places) > 3 and places[-1] == len(text) - 1 else places
@@ -256,7 +291,7 @@ def entities(text: str) -> list[tuple[int, int, str, tuple[tuple[int, int, str],
         if high - low < 7:
             continue
         for pattern, kind in ((PHONE, "phone"), (SSN, "ssn"), (IPV4, "ip"), (CARD, "card")):
-            found += [whole(m, kind, kind) for m in pattern.finditer(text, low, high + 2)]  # what stands after the run counts for its last entity
+            found += [whole(m, kind, kind) for m in pattern.finditer(text, low, high + 2) if kind != "card" or is_card(m[0])]  # what stands after the run counts for its last entity
     for m in NAME.finditer(text):
         at, who = ("named", m["named"]) if m["title"] else ("given", f"{m['given']} {m['family']}")
         spans = [(m.start("given"), m.end("given")), (m.start("family"), m.end("family"))] if at == "given" else [(m.start("named") + p.start(), m.start("named") + p.end()) for p in re.finditer(_PART, who)]
@@ -297,10 +332,9 @@ ENTITY = "array<struct<type:string,original:string,surrogate:string,start:int>>"
 
 
 def anonymise(docs: DataFrame, key: bytes, text: str = "text", found: str = "entities") -> DataFrame:
-    """All columns with the text replaced, and one more that lists the entities. One pass, nothing is moved."""
+    """All columns with the text replaced, and one more, the last, that lists the entities. One pass, nothing is moved."""
     ship(docs.sparkSession)
-    if found in docs.columns:
-        raise ValueError(f"there is a column {found!r}: choose another name for the entities")
+    found = free_name(found, docs.columns)
     kind = pa.list_(pa.struct([("type", pa.string()), ("original", pa.string()), ("surrogate", pa.string()), ("start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,13 +346,34 @@ def anonymise(docs: DataFrame, key: bytes, text: str = "text", found: str = "ent
             columns = [pa.array([t for t, _ in pairs], pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(told, kind)], names=[*batch.schema.names, found])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn(text, F.col(f"`{text}`").cast("string")).mapInArrow(run, f"{schema.replace(f'`{text}` ' + docs.schema[text].dataType.simpleString(), f'`{text}` string')}, `{found}` {ENTITY}")
+    typed = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
+    return typed.mapInArrow(lean(run), StructType([*typed.schema.fields, StructField(found, StructType.fromDDL(f"e {ENTITY}")["e"].dataType)]))
+
+
+def anonymise_checked(docs: DataFrame, key: bytes, text: str = "text", found: str = "entities") -> DataFrame:
+    """anonymise, written once, after the collision check over the entities of all rows (the only column it reads).
+
+    Raises ValueError if two entities share a surrogate or one has two: then no result is given away.
+    """
+    done = written(anonymise(docs, key, text, found), "anonymised")
+    told = done.select(F.explode(f"`{done.columns[-1]}`").alias("e")).select("e.*")
+    faults = {r["why"]: r["n"] for r in collisions(told).where("why <> 'original of another'").groupBy("why").agg(F.count("*").alias("n")).collect()}
+    if faults:
+        raise ValueError(f"surrogates collide: {faults}")
+    return done
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """From a table (type, original, surrogate): surrogates of two originals, and those that are originals of others."""
-    pairs = found.select("type", "original", "surrogate").distinct()
-    doubled = pairs.groupBy("type", "surrogate").agg(F.count("*").alias("originals")).where("originals > 1")
-    own = pairs.select("type", F.col("original").alias("surrogate")).distinct()
-    return doubled.select("type", "surrogate", F.lit("doubled").alias("why")).unionByName(pairs.where("original <> surrogate").select("type", "surrogate").join(own, ["type", "surrogate"], "left_semi").distinct().withColumn("why", F.lit("original of another")))
+    """From a table (type, original, surrogate) its faults by canonical value: (type, value, why).
+
+    "doubled": a surrogate of two entities; "split": an entity with two surrogates; "original of another": a surrogate
+    that is itself an entity of the table.
+    """
+    pair = F.udf(lambda kind, a, b: (canonical(kind, a), canonical(kind, b)), "original string, surrogate string", useArrow=True)
+    told = found.where("original is not null").select("type", "original", "surrogate").distinct()
+    pairs = told.select("type", pair("type", "original", "surrogate").alias("c")).select("type", "c.original", "c.surrogate").distinct()
+    doubled = pairs.groupBy("type", F.col("surrogate").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select("type", "value", F.lit("doubled").alias("why"))
+    split = pairs.groupBy("type", F.col("original").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select("type", "value", F.lit("split").alias("why"))
+    own = pairs.select("type", F.col("original").alias("value")).distinct()
+    others = pairs.where("original <> surrogate").select("type", F.col("surrogate").alias("value")).join(own, ["type", "value"], "left_semi").distinct().withColumn("why", F.lit("original of another"))
+    return doubled.unionByName(split).unionByName(others)

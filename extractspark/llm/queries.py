@@ -21,7 +21,7 @@ PII_KEY = b"documents"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.anonymise_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
