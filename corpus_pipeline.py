@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from extractspark.llm import minhash, packing, pii, quality, suffix_dedup
-from extractspark.llm.common import written
+from extractspark.llm.common import drop_folder, new_folder, scratch, written
 from extractspark.llm.queries import PII_KEY
 
 #: The documents' columns.
@@ -23,34 +23,56 @@ ORACLE_SQL = None
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """n_chars of the text as it is now."""
+    """n_chars of the text as it is now; null for a null text."""
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    A null, empty or short text goes, as it has fewer than 50 words; a null lang is judged by the nearest reference; equal
+    rows fare alike; a null doc_id or source changes nothing; a text of any length is judged whole; an empty table gives no
+    rows; columns beyond those of documents are left out.
+    """
     return quality.filter_kept(docs.select(*COLUMNS))
 
 
 def keep_first_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id; rows without doc_id all stay."""
-    judged = minhash.near_duplicates(docs)
+    """One document of each group of near duplicates, the one with the least doc_id.
+
+    Null and empty texts are linked with nothing and stay; a row without doc_id stays and removes none; rows that share a
+    doc_id share its verdict, so that equal rows of the least doc_id all stay; an empty table gives no rows.
+    """
+    judged = minhash.near_duplicates(docs.select(*COLUMNS))
     gone = judged.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that also start in an earlier one."""
+    """All documents, without the byte strings that also start in an earlier one.
+
+    A null text stays null and an empty one empty; of characters that lose a part of their bytes nothing stays; of equal
+    rows the first keeps its text, rows of one doc_id don't cut each other, a null doc_id comes after all others; an empty
+    table gives no rows.
+    """
     return _counted(suffix_dedup.remove_repeats(docs.select(*COLUMNS), replace=True))
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data."""
-    return _counted(pii.anonymise(docs.select(*COLUMNS), PII_KEY))
+    """All documents, with surrogates for personal data, after the collision check over all of them.
+
+    A null text stays null and an empty one empty; equal texts get equal results, whatever their ids; an empty table gives
+    no rows.
+    """
+    return _counted(pii.anonymise_checked(docs.select(*COLUMNS), PII_KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 2048 tokens."""
+    """The documents' pieces in sequences of at most 2048 tokens.
+
+    A null or empty text is one piece of the end id alone; equal rows are packed each for itself; a null doc_id stays null;
+    an empty table gives no rows.
+    """
     # Workers stay between stages: what they remember here is memory that the others lack.
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=60_000)
 
@@ -65,8 +87,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage writes on its way is removed once its own rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_folder(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return docs
