@@ -5,8 +5,9 @@ samples a row. ``store`` writes the images to archives (see archive_source), ``l
 decodes what it reads, member by member.
 
 Defined results: a null or empty text is 64 zero samples, n_bytes 0; repeated rows are repeated members; a null doc_id
-stays null; an empty table gives an empty archive folder and no rows; further columns are ignored; a member that stays
-unreadable is a row with its error and null figures.
+stays null; an empty table gives an empty archive folder and no rows; further columns are ignored; equal texts, whatever
+their ids, give equal figures; a text of any length is one member (of 2 GiB at most, the most an Arrow value holds); a
+member that stays unreadable is a row with its error and null figures.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 from .archive_source import MediaArchive
-from .common import column, new_folder, slices
+from .common import column, lean, new_folder, slices
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -92,7 +93,7 @@ def store(docs: DataFrame, path: str, archive_bytes: int = 256 << 20) -> None:
             made = [payload(t) for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([n for _, n in made], pa.int64()), pa.array([to_png(p) for p, _ in made], pa.binary()), pa.array(["png"] * len(made))], names=["doc_id", "n_bytes", "media", "kind"])
 
-    images = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_bytes long, media binary, kind string")
+    images = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(encode), "doc_id long, n_bytes long, media binary, kind string")
     images.write.format("media_archive").mode("append").option("path", path).option("archive_bytes", archive_bytes).save()
 
 
@@ -122,7 +123,7 @@ def load(spark: SparkSession, path: str, **options: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", *names])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, member string, error string"
-    return reader.load().select("member", "doc_id", "n_bytes", "media", "error").mapInArrow(decode, schema)
+    return reader.load().select("member", "doc_id", "n_bytes", "media", "error").mapInArrow(lean(decode), schema)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
