@@ -10,8 +10,10 @@ Both potentials are trained on labelled pages: a seeded generator writes pages o
 element. The number of training pages is a documented parameter; nothing is learned from the pages to be extracted.
 
 Defined results: null or empty html gives an empty text; a page cut off anywhere is read as far as it goes (an unfinished
-tag at its end is dropped); repeated rows are read each for itself; a null page_id or url stays null; an empty table gives
-no rows; further columns are ignored.
+tag at its end is dropped); a quoted value whose quote never ends is read up to white space or the tag's end; pages of any
+length and depth are read whole, in one task and in time that grows with their length; marginals of exactly a half are no
+content; repeated rows are read each for itself; a null page_id or url stays null; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import column, slices
+from .common import column, lean, slices
 from .toxicity import logistic
 
 # HTML's void elements, raw-text elements, those whose content is no text, block elements and those whose end an opening tag implies.
@@ -40,9 +43,14 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 PARAGRAPH_ENDS = BLOCK - {"br", "body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dt", "dd", "caption", "legend", "summary"} | {"li", "dt", "dd"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?=[\s=/>]|$)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# An attribute: a name, and perhaps a value, quoted if its quote ends anywhere, else up to white space or the tag's end.
+_VALUE = r"""\"[^\"]*+\"|'[^']*+'|[^\s>]*+"""
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+")
+_ATTRIBUTES = rf"(?>[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?>{_VALUE}))?+)*+"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?=(?P<data>.*?\]\]>))(?P=data)|<(?:[!?]|/(?![A-Za-z]))[^>]*(?:>|\Z)|<(?P<slash>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attributes>{_ATTRIBUTES})(?P<end>>|\Z)", re.S)
+STATED = ("class", "id", "role", "itemprop")
 NAMES = re.compile(r"[a-z]+")
+STOP = re.compile(r"[.!?](?=\s|$)")
 SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
 # Words of class, id and role that speak for either state.
 GOOD = frozenset("article body content entry main post story text articlebody".split())
@@ -51,18 +59,15 @@ TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul",
 
 
 class Node:
-    __slots__ = ("attrs", "children", "index", "linked", "parent", "sentences", "tag", "words")
+    __slots__ = ("attrs", "children", "drawn", "index", "linked", "paragraph", "parent", "sentences", "tag", "words")
 
     def __init__(self, tag: str, parent: Node | None, index: int, attrs: str) -> None:
         self.tag, self.parent, self.index, self.attrs = tag, parent, index, attrs
         self.children: list[Node] = []
         self.words = self.linked = self.sentences = 0
-
-
-def _in_drawing(node: Node) -> bool:
-    while node.parent is not None and node.tag not in ("svg", "math"):
-        node = node.parent
-    return node.parent is not None
+        self.drawn = tag in ("svg", "math") or parent is not None and parent.drawn
+        # The paragraph that a block would end here.
+        self.paragraph: Node | None = self if tag == "p" else None if parent is None or tag in ("td", "th", "table") or tag in MUTE else parent.paragraph
 
 
 def _silent(node: Node) -> bool:
@@ -73,24 +78,38 @@ def _silent(node: Node) -> bool:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Elements in document order, the first a root, and the runs of text (index of the nearest element, text)."""
+    """Elements in document order, the first a root, and the runs of text (index of the nearest element, text).
+
+    Linear in the page: what is looked for among the open elements is known to be there, and is closed by being found.
+    """
     nodes = [Node("#root", None, 0, "")]
     texts: list[tuple[int, str]] = []
     here, at, end = nodes[0], 0, len(page)
+    open_ = Counter()  # the open elements by their tag
     before: dict[int, int] = {}  # for each open element of MUTE the runs before it
+
+    def close(last: Node) -> Node:
+        """Closes all elements down to this one; returns what is open then."""
+        node = here
+        while node is not last:
+            open_[node.tag] -= 1
+            node = node.parent
+        open_[last.tag] -= 1
+        return last.parent
+
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
             texts.append((here.index, page[at : m.start()]))
         at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag or not m[4]:
+        tag = (m["tag"] or "").lower()
+        if not tag or not m["end"]:
             continue  # a comment, a declaration, or cut off
-        if m[1]:
-            node = here
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                here = node.parent
+        if m["slash"]:
+            if open_[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = close(node)
                 if tag in MUTE:  # its own end tag: nothing in it is text
                     here.children.pop()
                     del nodes[node.index :], texts[before[node.index] :]
@@ -99,61 +118,59 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 texts.append((here.index, "\0"))
             texts.append((here.index, "\0" if tag in BLOCK else ""))
             continue
-        if tag in PARAGRAPH_ENDS:
-            node = here
-            while node.parent is not None and node.tag not in ("p", "td", "th", "table", "#root") and node.tag not in MUTE:
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in CLOSES:
+        if tag in PARAGRAPH_ENDS and here.paragraph is not None:
+            here = close(here.paragraph)
+        if tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
             node, cut = here, None
             while node.parent is not None and node.tag not in FENCES[tag] and node.tag not in MUTE:
                 if node.tag in CLOSES[tag]:
                     cut = node
                 node = node.parent
             if cut is not None:
-                here = cut.parent
+                here = close(cut)
         if tag in BLOCK:
             texts.append((here.index, "\0"))
         if tag in VOID:
             continue
-        if m[3][-1:] == "/" and (tag in ("svg", "math") or _in_drawing(here)):
+        attrs = m["attributes"]
+        if attrs[-1:] == "/" and (tag in ("svg", "math") or here.drawn):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = stop.end() if stop else end
             continue
-        node = Node(tag, here, len(nodes), m[3])
+        node = Node(tag, here, len(nodes), attrs)
         here.children.append(node)
         nodes.append(node)
+        open_[tag] += 1
         if tag in MUTE:
             before[node.index] = len(texts)
-        if m[3][-1:] != "/" or tag not in ("path", "rect", "circle"):
-            here = node
+        here = node
     if at < end:
         texts.append((here.index, page[at:]))
     texts = [(i, entities.unescape(t) if "&" in t else t) for i, t in texts if t and (t == "\0" or not _silent(nodes[i]))]
     for i, t in texts:
-        if t == "\0":
-            continue
-        n, stops, node, linked = len(t.split()), len(re.findall(r"[.!?](?=\s|$)", t)), nodes[i], False
-        while node is not None:
-            linked = linked or node.tag == "a"
-            node.words += n
-            node.linked += n * linked
-            node.sentences += stops
-            node = node.parent
+        if t != "\0":
+            nodes[i].words += len(t.split())
+            nodes[i].sentences += len(STOP.findall(t))
+    for node in reversed(nodes[1:]):  # children come after their parents
+        if node.tag == "a":
+            node.linked = node.words
+        above = node.parent
+        above.words += node.words
+        above.linked += node.linked
+        above.sentences += node.sentences
     return nodes, texts
 
 
 def features(node: Node) -> list[float]:
     marks: set[str] = set()
     hidden = 0.0
-    for name, value in ATTRIBUTE.findall(node.attrs) if "=" in node.attrs or "hidden" in node.attrs else ():
-        value = value.strip("\"'").lower()
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
+    for name, value in ATTRIBUTE.findall(node.attrs) if node.attrs else ():
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = 1.0
-        elif name.lower() != "aria-hidden":
+        elif name in STATED:
             marks.update(NAMES.findall(value))
     share = node.linked / node.words if node.words else 0.0
     return [
@@ -339,4 +356,4 @@ def main_text(pages: DataFrame, training_pages: int = 300) -> DataFrame:
             texts = [extract(h, model) for h in column(batch, "html").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
