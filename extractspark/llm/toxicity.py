@@ -6,12 +6,16 @@ the row (folds), so later models learn from what they will get. Features are wor
 eight letters; those that tell the classes apart best on the labelled sample are kept.
 
 The sample has at most ``sample`` labelled documents of each class, chosen by a hash of doc_id; that is the one bound.
-Every document is scored whole. Labelled categories: the label ``toxic`` and, within toxic rows, three narrower
-categories named by seed words (fixed values below).
-
-Defined results: a null or empty text has no features and gets the prior's probability, which is not toxic; without
-labelled rows of both classes every probability is 0; repeated rows are scored each for itself; a null doc_id stays
-null; an empty table gives no rows; further columns are ignored.
+Every document is scored whole. The labels name one category, ``toxic``; the narrower ones before it are kinds of toxic
+documents, found in the sample itself: clusters of the toxic rows by their features (spherical k-means from the farthest
+rows). A row's kind is that of the nearest centre among those that were fitted without the row's fold, so that no label is
+made from a clustering that has seen the row. No word is given beforehand.
+
+Defined results: a null or empty text has no features and gets the prior's probability, which is not toxic; a text of any
+length is read whole, in one task; without labelled rows of both classes every probability is 0; a probability of exactly
+the threshold is toxic; labels of one doc_id that differ count as toxic, and of texts with one doc_id the least is learned
+from; repeated rows are scored each for itself; a null doc_id stays null; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import column, slices, written
+from .common import column, lean, scratch, slices, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose features a worker remembers.
 REMEMBERED = 200_000
-# Seed words of the narrower categories.
-SEEDS = {"insult": ["clown", "idiot", "loser", "moron", "stupid"], "contempt": ["scum", "trash", "worthless"], "disgust": ["disgusting", "pathetic"]}
-CATEGORIES = [*SEEDS, "toxic"]
+#: Kinds of toxic documents that come before toxic itself.
+KINDS = 4
 
 
 def words_of(text: str | None) -> set[str]:
@@ -65,6 +68,47 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def centres(x: np.ndarray, k: int, steps: int = 20) -> np.ndarray:
+    """Unit centres of k clusters of unit rows, from the row nearest to the mean and then the farthest from those before."""
+    if not len(x):
+        return np.zeros((k, x.shape[1]))
+    chosen = [int(np.argmax(x @ x.mean(axis=0)))]
+    while len(chosen) < k:
+        chosen.append(int(np.argmin((x @ x[chosen].T).max(axis=1))))
+    middle = x[chosen]
+    for _ in range(steps):
+        nearest = (x @ middle.T).argmax(axis=1)
+        new = _unit(np.array([x[nearest == c].sum(axis=0) if (nearest == c).any() else middle[c] for c in range(k)]))
+        if np.allclose(new, middle):
+            break
+        middle = new
+    return middle
+
+
+def kinds_of(x: np.ndarray, toxic: np.ndarray, fold: np.ndarray, k: int = KINDS) -> np.ndarray:
+    """For each row and kind whether the row is toxic and of that kind, by centres that were fitted without its fold."""
+    out, bad = np.zeros((len(x), k)), toxic > 0
+    unit = _unit(x)
+    whole = centres(unit[bad], k)
+    for f in range(int(fold.max()) + 1 if len(fold) else 0):
+        held = np.flatnonzero((fold == f) & bad)
+        rest = bad & (fold != f)
+        if not len(held):
+            continue
+        # The fold's centres take the names of those of the whole sample, the most alike first.
+        own = centres(unit[rest], k) if rest.any() else whole
+        alike, name = own @ whole.T, np.zeros(k, int)
+        for _ in range(k):
+            a, b = np.unravel_index(np.argmax(alike), alike.shape)
+            name[a], alike[a, :], alike[:, b] = b, -2.0, -2.0
+        out[held, name[(unit[held] @ own.T).argmax(axis=1)]] = 1.0
+    return out
+
+
 class Chain:
     """The fitted models, category by category."""
 
@@ -107,9 +151,15 @@ class Chain:
         return x[:, len(self.at) :]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, size: int = 256, folds: int = 3) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, size: int = 256, folds: int = 3, kinds: int = KINDS) -> Chain:
     """Train on at most 2 * sample labelled documents, whatever the number of labels."""
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, sample, size, folds, kinds)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample: int, size: int, folds: int, kinds: int) -> Chain:
     ship(docs.sparkSession)
+    categories = [*(f"kind_{i + 1}" for i in range(kinds)), "toxic"]
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for value in (0, 1)]
@@ -122,10 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, size: int = 256,
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = written(own.select("doc_id", "text", "toxic").mapInArrow(tokens, "doc_id long, toxic int, words array<string>"), "toxic-sample")
+    rows = written(own.select("doc_id", "text", "toxic").mapInArrow(lean(tokens), "doc_id long, toxic int, words array<string>"), "toxic-sample")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return Chain([], CATEGORIES)
+        return Chain([], categories)
     # Documents of either class that have the feature, and how sure it is that their shares differ.
     starts = [F.concat(F.lit("^"), F.substring("word", 1, k)) for k in range(3, 9)]
     each = F.array_compact(F.array("word", *[F.when(F.length("word") >= k, s) for k, s in enumerate(starts, 3)]))
@@ -137,21 +187,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, size: int = 256,
     alike = Window.partitionBy("bad", "all", F.substring(F.regexp_replace("feature", r"^\^", ""), 1, 3)).orderBy(F.length("feature"), "feature")
     counted = counted.withColumn("nth", F.row_number().over(alike)).where("nth = 1")
     vocabulary = [r["feature"] for r in counted.orderBy(gap.desc(), "feature").limit(size).collect()]
-    chain = Chain(vocabulary, CATEGORIES)
-    seeds = [w for words in SEEDS.values() for w in words]
+    chain = Chain(vocabulary, categories)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [set(x) for x in column(batch, "words").to_pylist()]
             hits = [np.flatnonzero(r).tolist() for r in chain.matrix(sets)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(hits, pa.list_(pa.int32())), pa.array([[w for w in seeds if w in s] for s in sets], pa.list_(pa.string()))], names=["doc_id", "toxic", "hits", "seeds"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "toxic", "hits"])
 
-    sampled = sorted(rows.mapInArrow(told, "doc_id long, toxic int, hits array<int>, seeds array<string>").collect(), key=lambda r: r["doc_id"])
+    sampled = sorted(rows.mapInArrow(lean(told), "doc_id long, toxic int, hits array<int>").collect(), key=lambda r: r["doc_id"])
     x = np.zeros((len(sampled), len(vocabulary)))
     for i, r in enumerate(sampled):
         x[i, r["hits"]] = 1
-    y = np.array([[*(float(r["toxic"] and not set(words).isdisjoint(r["seeds"])) for words in SEEDS.values()), float(r["toxic"])] for r in sampled])
-    chain.fit(x, y, np.arange(len(sampled)) % folds)
+    toxic, fold = np.array([float(r["toxic"]) for r in sampled]), np.arange(len(sampled)) % folds
+    chain.fit(x, np.hstack([kinds_of(x, toxic, fold, kinds), toxic[:, None]]), fold)
     return chain
 
 
@@ -167,4 +216,4 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(np.round(p[:, c], 6)) for c in range(len(names))), pa.array(p[:, -1] >= threshold)], names=["doc_id", *names, "is_toxic"])
 
     schema = "doc_id long, " + "".join(f"{n} double, " for n in names) + "is_toxic boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
