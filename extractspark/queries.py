@@ -190,6 +190,17 @@ def flexible_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flexible.extract(pages, fps).select("page_id", "pos", F.length("value").alias("length"), F.round("score", 4).alias("score"))
 
 
+def adaptive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heading of every page by the signature of the first page's, stored for its domain."""
+    pages = table(spark, sf_dir, "pages")
+    first = pages.orderBy("page_id").first()
+    store = SignatureStore()
+    wanted = next(e for e in html.parse(first["html"]).walk() if e.name == "h1")
+    store.save(urls.domain_of(first["url"]), "heading", adaptive.signature(wanted, first["url"]))
+    found = adaptive.find(pages, store, min_similarity=0.3, domain=urls.domain_of(first["url"]))
+    return found.select("page_id", "identifier", text.compose(F.col("value")).alias("heading"))
+
+
 def repeated_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.detect_lists(table(spark, sf_dir, "pages"))
     return found.where("type = 'repeated_pattern' and tag = 'li'").select("page_id", F.col("count").alias("items"))
@@ -198,7 +209,7 @@ def repeated_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smart_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.smart_extract(table(spark, sf_dir, "pages"))
     title, items = F.get_json_object("structured_data", "$.meta_tags.standard.title"), F.get_json_object("patterns", "$.lists[0].count")
-    return found.select("page_id", text.compose(title).alias("title"), items.cast("int").alias("items"), F.col("pagination.next").alias("next"), F.col("pagination.total_pages").alias("total_pages"))
+    return found.select("page_id", text.compose(title).alias("title"), items.cast("int").alias("items"), F.col("pagination.next").alias("next"), *[F.coalesce(F.size(F.col("data_types")[k]), F.lit(0)).alias(f"{k}s") for k in ("percentage", "hashtag", "email")])
 
 
 # Pages written from the star schema -----------------------------------------------------------------------------------
@@ -381,7 +392,7 @@ def _first_heading(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
     return page["html"], page["url"], next(e for e in html.parse(page["html"]).walk() if e.name == "h2").text()
 
 
-def adaptive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+def adaptive_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best element for a stored signature on each page, among others of its tag."""
     page, url, _ = _first_heading(spark, sf_dir)
     store = SignatureStore()
@@ -610,6 +621,7 @@ def typed_sql(kind: str, source: str, key: str, expression: str) -> str:
     return f"select {key}, (generate_subscripts(m, 1) - 1)::int as pos, unnest(m) as value from (select {key}, regexp_extract_all({expression}, {quoted(typed.PATTERNS[kind])}) as m from {source})"
 
 
+PAGE_TEXT_SQL = decoded(r"regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '(?s)<[^>]*>', '', 'g')")
 ITEM_SQL = "'Item ' || p_partkey || ' ' || p_name"
 PRICE_SQL = "'$' || cast(cast(p_retailprice as decimal(12,2)) as varchar)"
 NTH_SQL = "row_number() over (partition by p_size order by p_partkey) as i, count(*) over (partition by p_size) as m"
@@ -656,7 +668,7 @@ def oracle_sql() -> dict[str, str]:
         "json_ld": "select n_nationkey::bigint as page_id, n_name as name, n_nationkey::bigint as id from nation",
         "microdata": "select n_nationkey::bigint as page_id, 'Place' as type, unnest(['name', 'code']) as property, unnest([n_name, cast(n_nationkey as varchar)]) as value from nation",
         "fuzzy_texts": "select p_partkey, unnest(['case', 'end', 'start', 'none']) as kind, unnest([1.0, round(2.0 * n / (2 * n + 4), 4), round(2.0 * (n - 5) / (2 * n), 4), 0.0])::double as ratio, unnest([true, true, 2.0 * (n - 5) / (2 * n) >= 0.8, false]) as alike from (select p_partkey, length(p_name) as n from part)",
-        "smart_extract": f"select page_id, {decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")} as title, nullif(len(regexp_extract_all(html, '<li>')), 0)::int as items, null::varchar as next, null::int as total_pages from pages",
+        "smart_extract": f"select page_id, {decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")} as title, nullif(len(regexp_extract_all(html, '<li>')), 0)::int as items, null::varchar as next, {', '.join(f"len(regexp_extract_all({PAGE_TEXT_SQL}, {quoted(typed.PATTERNS[k])}))::int as {k}s" for k in ('percentage', 'hashtag', 'email'))} from pages",
         "items_similar": f"select p_size::bigint as page_id, unnest(['name', 'price']) as alias, unnest([{ITEM_SQL}, {PRICE_SQL}]) as value from part where p_size % 2 = 1",
         "items_fuzzy": f"select p_size::bigint as page_id, unnest(['name', 'price']) as alias, unnest([{ITEM_SQL}, {PRICE_SQL}]) as value from part",
         "items_exact": f"select p_size::bigint as page_id, unnest(['name', 'price']) as alias, unnest([{ITEM_SQL}, {PRICE_SQL}]) as value from (select *, {NTH_SQL} from part where p_size % 2 = 1) where i = least(m, 3)",
@@ -667,7 +679,8 @@ def oracle_sql() -> dict[str, str]:
         "items_elsewhere": f"select p_size::bigint as page_id, {PRICE_SQL} as value from (select *, {NTH_SQL} from part) where m >= 2",
         "items_regrouped": f"select p_size::bigint as page_id, {ITEM_SQL} as name, {PRICE_SQL} as price from (select *, {NTH_SQL} from part) where m >= 2",
         "similar_elements": f"select p_size::bigint as page_id, p_partkey::bigint as item from (select *, {NTH_SQL} from part) where i > 1",
-        "adaptive_best": "select n_nationkey::bigint as page_id, 'heading' as identifier, n_name as value from nation",
+        "adaptive_best": f"select page_id, 'heading' as identifier, {HEADING_SQL} as heading from pages",
+        "adaptive_moved": "select n_nationkey::bigint as page_id, 'heading' as identifier, n_name as value from nation",
         "adaptive_built": "select n_nationkey::bigint as page_id, 'heading' as alias, n_name as value from nation",
         "adaptive_fallback": "select n_nationkey::bigint as page_id, 'heading' as alias, n_name as found from nation",
         "rules_without_fallback": "select n_nationkey::bigint as page_id, 'heading' as alias, n_name as found from nation where n_nationkey % 2 = 0",
@@ -699,7 +712,7 @@ def queries() -> dict[str, Query]:
         typed_counts, parse_price, clean_default, sentences, truncate_200, regex_extract, regex_groups, regex_named, regex_replace, domain_extract, fuzzy_texts, page_title, anchors, ad_by_class,
         list_items_css, html_lists, h1_similar, h1_exact, h1_by_alias, h1_fuzzy, fingerprint, flexible_headings, adaptive_best, similar_elements, repeated_siblings, smart_extract, tables_long,
         simple_tables, table_csv, cards, grouped_items, meta_tags, json_ld, microdata, pagination, model_roundtrip, rules_kept,
-        items_similar, items_exact, items_fuzzy, items_in_order, items_distinct, items_either, items_from_model, items_elsewhere, items_regrouped, adaptive_built, adaptive_fallback, rules_without_fallback, signature_store,
+        items_similar, items_exact, items_fuzzy, items_in_order, items_distinct, items_either, items_from_model, items_elsewhere, items_regrouped, adaptive_moved, adaptive_built, adaptive_fallback, rules_without_fallback, signature_store,
         page_summary, structured, patterns_found, linked_pages, markup_text, page_strings, markup, microdata_many, session_emails, page_regex, title_of_bytes, normalized, first_links, links_called, axes, css_places, sql_functions, streamed_lists,
     ]
     return {**{f"typed_{k}": exploded(k) for k in DOCUMENT_TYPES}, **{f"typed_{k}": exploded_orders(k) for k in ORDER_TYPES}, **{f.__name__: f for f in named}}
