@@ -57,6 +57,28 @@ def fuzzy_match(a: str | None, b: str | None, limit: float = 0.8) -> bool:
     return x == y or x in y or y in x or reaches(x, y, limit)
 
 
+class TextMatcher:
+    """fuzzy_match with a limit of its own, for texts and for columns."""
+
+    def __init__(self, limit: float = 0.8) -> None:
+        self.limit = limit
+
+    def matches(self, a: str | None, b: str | None) -> bool:
+        return fuzzy_match(a, b, self.limit)
+
+    def ratio(self, a: str | None, b: str | None) -> float:
+        return fuzzy_ratio(a, b)
+
+    def best(self, text: str, candidates: list[str]) -> tuple[str, float] | None:
+        """The most similar candidate that reaches the limit, the first of equal ones, and its ratio."""
+        scored = [(c, fuzzy_ratio(text, c)) for c in candidates]
+        found = max(scored, key=lambda x: x[1], default=None)
+        return found if found is not None and found[1] >= self.limit else None
+
+    def like(self, a: Column, b: Column) -> Column:
+        return text_like(a, b, self.limit)
+
+
 def _either(a: Any, b: Any, one_missing: float) -> float | None:
     """The score if one of the two or both are missing."""
     if not a and not b:

@@ -101,6 +101,24 @@ def similar_elements(root: Element, reference: Element, threshold: float = 0.6,
     return best_matches(root, wanted, threshold, url, weights, pool)
 
 
+class ElementMatcher:
+    """Weighted similarity with a threshold and weights of its own."""
+
+    def __init__(self, min_similarity: float = 0.5, weights: dict[str, float] | None = None) -> None:
+        self.min_similarity, self.weights = min_similarity, weights
+
+    def score(self, a: Element | dict, b: Element | dict) -> float:
+        """Of two elements or signatures."""
+        x, y = (signature(e) if isinstance(e, Element) else e for e in (a, b))
+        return signature_score(x, y, self.weights)
+
+    def best(self, root: Element, wanted: dict, url: str = "") -> list[tuple[Element, float]]:
+        return best_matches(root, wanted, self.min_similarity, url, self.weights)
+
+    def similar(self, root: Element, reference: Element, url: str = "") -> list[tuple[Element, float]]:
+        return similar_elements(root, reference, self.min_similarity, url, self.weights)
+
+
 def field_similarity(stored: dict, tag: str, text: str, href: str) -> float:
     """How well a candidate fits a stored field: headings, dates, bylines, paragraphs, tags and length, by what applies."""
     if stored.get("wanted_attr") == "href":

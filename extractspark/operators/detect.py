@@ -273,6 +273,35 @@ def page_urls(root: Element, base: str | None = None, max_pages: int = 100) -> l
     return [p["url"] for p in pagination(root, base)["pages"][:max_pages]]
 
 
+class PageDetector:
+    """All detectors of one page, parsed once."""
+
+    def __init__(self, page: str | Element, url: str | None = None, min_items: int = 3) -> None:
+        self.root = html.parse(page) if isinstance(page, str) else page
+        self.url, self.min_items = url, min_items
+
+    def lists(self) -> list[dict]:
+        return lists(self.root, self.min_items)
+
+    def cards(self) -> list[dict]:
+        return cards(self.root, self.min_items)
+
+    def tables(self) -> list[dict]:
+        return tables(self.root)
+
+    def csv(self, index: int = 0) -> str:
+        return table_csv(self.root, index)
+
+    def structured(self) -> dict:
+        return structured_of(self.root)
+
+    def pagination(self) -> dict:
+        return pagination(self.root, self.url)
+
+    def page_urls(self, max_pages: int = 100) -> list[str]:
+        return page_urls(self.root, self.url, max_pages)
+
+
 # Over tables of pages -------------------------------------------------------------------------------------------------
 
 

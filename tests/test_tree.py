@@ -178,3 +178,18 @@ def test_pages_without_a_value_go_to_the_fallback(spark):
     learned, _, _ = rules.learn("<body><p class=a>x</p><b>other</b></body>", {"v": ["x"]})
     rows = replay.similar(table(spark, "<body><p class=a>y</p><b>other</b></body>", "<body><i>z</i></body>"), learned, otherwise=lambda i, url, root: iter([(i, "none", "", 0, 0, root.text())]))
     assert sorted((r["page_id"], r["stack_id"] == "none", r["value"]) for r in rows.collect()) == [(0, False, "y"), (1, True, "z")]
+
+
+def test_matchers_and_detectors_as_objects(spark):
+    from test_engine import PAGE, RICH
+
+    text = similarity.TextMatcher(0.7)
+    assert text.matches("Title", "titles") and not text.matches("a", "zzz") and text.ratio("a", "A") == 1 and text.best("Title A", ["x", "Title B", "title a"]) == ("title a", 1.0) and text.best("q", ["x"]) is None
+    root = html.parse(PAGE)
+    first, *rest = css.select(root, "h2")
+    matcher = adaptive.ElementMatcher(0.5)
+    assert matcher.score(first, first) == 1 and [e for e, _ in matcher.similar(root, first)] == rest and matcher.best(root, adaptive.signature(first))[0][0] is first
+    assert adaptive.ElementMatcher(weights={k: float(k == "tag_name") for k in similarity.WEIGHTS}).score(first, rest[0]) == 1
+    page = detect.PageDetector(RICH, "https://e.com/x")
+    assert page.tables()[0]["headers"] == ["Name", "Age"] and page.csv().startswith('"Name"') and page.pagination()["current"] == 2 and page.page_urls(1) == ["https://e.com/page/1"]
+    assert page.structured()["json_ld"] == [{"@type": "Product"}] and len(page.cards()) == 2 and len(page.lists()) >= 2
