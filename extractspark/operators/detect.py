@@ -1,7 +1,7 @@
 """Rule-free detectors: lists, repeated siblings, cards, tables, structured data, pagination.
 
-Each looks at one page only, so the table forms run in the parsing pass and emit rows; lists, meta tags and JSON-LD also
-exist as plain DataFrame code over ``nodes`` (html_lists, meta_tags, json_ld).
+Each looks at one page only, so the table forms run in the parsing pass and emit rows; JSON-LD is DataFrame code over
+``nodes``, as it ends in a variant.
 """
 
 from __future__ import annotations
@@ -63,15 +63,20 @@ def named(*names: str) -> Callable[[Element], bool]:
 # Lists and cards ------------------------------------------------------------------------------------------------------
 
 
-def lists(root: Element, least: int = 3) -> list[dict]:
-    """Lists with enough direct items, then repeated siblings."""
+def plain_lists(root: Element, least: int = 3) -> list[dict]:
+    """Lists with enough direct items."""
     out = []
     for e in root.walk():
         if e.name in ("ul", "ol"):
             items = [c for c in e.elements if c.name == "li"]
             if len(items) >= least:
                 out.append({"type": "html_list", "tag": e.name, "node_id": e.number, "count": len(items), "texts": [i.tight() for i in items]})
-    return out + repeated(root, least)
+    return out
+
+
+def lists(root: Element, least: int = 3) -> list[dict]:
+    """Lists with enough direct items, then repeated siblings."""
+    return plain_lists(root, least) + repeated(root, least)
 
 
 def repeated(root: Element, least: int = 3) -> list[dict]:
@@ -352,6 +357,16 @@ def extract_microdata(pages: DataFrame) -> DataFrame:
     return over_pages(pages, "item int, type string, property string, pos int, value string", rows)
 
 
+def html_lists(pages: DataFrame, min_items: int = 3) -> DataFrame:
+    """page_id, node_id, tag, count and texts of lists with enough direct items."""
+    return over_pages(pages, "node_id int, tag string, count bigint, texts array<string>", lambda r, _: ((x["node_id"], x["tag"], x["count"], x["texts"]) for x in plain_lists(r, min_items)))
+
+
+def meta_tags(pages: DataFrame) -> DataFrame:
+    """page_id, bucket, name and content; the last of equal names counts, the first title is a standard one."""
+    return over_pages(pages, "bucket string, name string, content string", lambda r, _: ((bucket, name, content) for bucket, held in meta_of(r).items() for name, content in held.items()))
+
+
 PAGINATION = "`next` string, prev string, pages array<struct<number:int,url:string>>, current int, total_pages int"
 
 
@@ -406,27 +421,7 @@ def smart_extract(pages: DataFrame, min_items: int = 3) -> DataFrame:
     return made.select("page_id", typed.extract_all(F.col("text")).alias("data_types"), "patterns", "structured_data", "pagination")
 
 
-# DataFrame forms over nodes -------------------------------------------------------------------------------------------
-
-
-def html_lists(nodes: DataFrame, min_items: int = 3) -> DataFrame:
-    """page_id, node_id, tag, count and texts of lists with enough direct items."""
-    around = nodes.where(F.col("name").isin("ul", "ol")).select("page_id", F.col("node_id").alias("parent_id"), F.col("name").alias("tag"))
-    items = nodes.where("name = 'li'").select("page_id", "parent_id", "node_id", "text_strip")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text_strip"))), lambda x: x["text_strip"])
-    found = items.join(around, ["page_id", "parent_id"]).groupBy("page_id", F.col("parent_id").alias("node_id"), "tag").agg(F.count("*").alias("count"), texts.alias("texts"))
-    return found.where(F.col("count") >= min_items)
-
-
-def meta_tags(nodes: DataFrame) -> DataFrame:
-    """page_id, bucket, name and content; the last of equal names counts, the first title is a standard one."""
-    name = F.when(F.coalesce(attribute("name"), F.lit("")) != "", attribute("name")).otherwise(attribute("property"))
-    tags = nodes.where("name = 'meta'").select("page_id", "node_id", name.alias("key"), attribute("content").alias("content")).where("key <> '' and content <> ''")
-    bucket = F.when(F.col("key").startswith("og:"), "og").when(F.col("key").startswith("twitter:"), "twitter").when(F.col("key").isin(STANDARD), "standard").otherwise("other")
-    short = F.when(bucket.isin("og", "twitter"), F.regexp_replace("key", "^(og|twitter):", "")).otherwise(F.col("key"))
-    last = tags.select("page_id", bucket.alias("bucket"), short.alias("name"), "node_id", "content").groupBy("page_id", "bucket", "name").agg(F.max_by("content", "node_id").alias("content"))
-    title = nodes.where("name = 'title'").groupBy("page_id").agg(F.min_by("text_strip", "node_id").alias("content")).select("page_id", F.lit("standard").alias("bucket"), F.lit("title").alias("name"), "content")
-    return last.unionByName(title)
+# A DataFrame form over nodes -------------------------------------------------------------------------------------------
 
 
 def json_ld(nodes: DataFrame) -> DataFrame:

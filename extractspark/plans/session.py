@@ -258,7 +258,7 @@ class Extractor:
         return self._local(html, url, pages, lambda p: detect.json_ld(_nodes(p, ["script"])), detect.json_ld_of)
 
     def extract_meta_tags(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
-        return self._local(html, url, pages, lambda p: detect.meta_tags(_nodes(p, ["meta", "title"])), detect.meta_of)
+        return self._local(html, url, pages, detect.meta_tags, detect.meta_of)
 
     def extract_microdata(self, html: str | None = None, url: str | None = None, pages: DataFrame | None = None) -> Any:
         return self._local(html, url, pages, detect.extract_microdata, detect.microdata_of)

@@ -152,7 +152,7 @@ def list_items_css(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.html_lists(html.nodes(table(spark, sf_dir, "pages"), names=["ul", "ol", "li"], columns=["page_id", "node_id", "parent_id", "name", "text_strip"]))
+    found = detect.html_lists(table(spark, sf_dir, "pages"))
     return found.select("page_id", F.col("count").alias("items"), text.compose(F.array_join("texts", "|")).alias("texts"))
 
 
@@ -439,7 +439,7 @@ def signature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.meta_tags(html.nodes(nation_pages(spark, sf_dir), names=["meta", "title"]))
+    return detect.meta_tags(nation_pages(spark, sf_dir))
 
 
 def json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,7 +233,7 @@ def test_lists_cards_tables_pagination(session):
 
 def test_detectors_over_tables(spark, session):
     pages = table(spark, RICH, "", None)
-    assert {r["bucket"]: r["content"] for r in detect.meta_tags(html.nodes(pages)).where("name = 'title'").collect()} == {"standard": "Shop", "og": "o2"}
+    assert {r["bucket"]: r["content"] for r in detect.meta_tags(pages).where("name = 'title'").collect()} == {"standard": "Shop", "og": "o2"}
     assert detect.json_ld(html.nodes(pages)).count() == 1
     assert detect.extract_tables(pages).count() == 5 and detect.detect_cards(pages).count() == 2
     smart = detect.smart_extract(pages).orderBy("page_id").collect()
@@ -342,7 +342,7 @@ def test_fetching(spark):
 def test_streams_equal_batches(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     pages.repartition(3).write.parquet(str(tmp_path / "in"))
-    operator = lambda p: detect.html_lists(html.nodes(p)).select("page_id", "count")
+    operator = lambda p: detect.html_lists(p).select("page_id", "count")
     query = streams.extract_stream(streams.read_pages(spark, str(tmp_path / "in"), max_files=1), operator, str(tmp_path / "out"), str(tmp_path / "marks"))
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select("page_id", "count")
