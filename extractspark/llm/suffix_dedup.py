@@ -45,7 +45,7 @@ LENGTH = 50
 #: Bytes of a gram; least bytes of texts in a block and for each shard; different surroundings that make a minimizer hot;
 #: ranges of minimizers in a shard, and packed bytes of ranges that it works on at once; bytes of text for each message
 #: between a block and a shard.
-GRAM, BLOCK, SHARD, HOT, RANGES, WORK, MESSAGE = 20, 4 << 20, 8 << 20, 4096, 8, 3 << 19, 1024
+GRAM, BLOCK, SHARD, HOT, RANGES, WORK, MESSAGE = 20, 4 << 20, 6 << 20, 16384, 8, 8 << 20, 1024
 _WINDOWS = 1 << 19
 _LOW = np.uint64((1 << 22) - 1)
 _LAST = np.iinfo(np.int64).max

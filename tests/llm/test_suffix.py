@@ -26,8 +26,8 @@ def test_suffix_arrays_of_regular_texts(raw):
     assert suffix_array.suffix_array(np.frombuffer(raw, np.uint8)).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
 
 
-def brute(rows, length):
-    """Figures of every row, by looking every string up among those of lesser ids."""
+def brute_kept(rows, length):
+    """For every row its id, bytes, kept bytes and removed runs, by looking every string up among those of lesser ids."""
     key = lambda i: (i is None, i or 0)
     first = {}
     for i, t in rows:
@@ -35,7 +35,6 @@ def brute(rows, length):
         for k in range(len(b) - length + 1):
             s = b[k : k + length]
             first[s] = min(first.get(s, key(i)), key(i))
-    out = []
     for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -43,9 +42,12 @@ def brute(rows, length):
             if first[b[k : k + length]] < key(i):
                 gone[k : k + length] = b"\1" * length
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out.append((i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-    return out
+        yield i, b, kept, sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1])), gone
+
+
+def brute(rows, length):
+    """Figures of every row."""
+    return [(i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()) for i, b, kept, spans, _ in brute_kept(rows, length)]
 
 
 def order(rows):
@@ -67,7 +69,7 @@ def test_documents(some_docs):
     compare(some_docs)
 
 
-@pytest.mark.parametrize("hot", [0, 2, 4096])
+@pytest.mark.parametrize("hot", [0, 2, suffix_dedup.HOT])
 def test_hot_passages_in_many_blocks(spark, hot):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcé") for _ in range(6))
@@ -126,5 +128,5 @@ def test_one_passage_in_every_block(spark):
     passage = " ".join(word() for _ in range(40))
     rows = [(i, f"{word()} {word()} {passage} {word()} {word()}" if i % 3 else passage) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for hot in (0, 50, 4096):
+    for hot in (0, 50, suffix_dedup.HOT):
         compare(docs, hot=hot, block_bytes=1500, shard_bytes=4000)
