@@ -28,13 +28,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep.
+    """Documents that the quality rules keep, by references from the documents that the table labels calls good.
 
-    A null, empty or short text goes, as it has fewer than 50 words; a null lang is judged by the nearest reference; equal
+    A null, empty or short text goes, as it has fewer than 50 words; a null lang is judged by characters only; equal
     rows fare alike; a null doc_id or source changes nothing; a text of any length is judged whole; an empty table gives no
     rows; columns beyond those of documents are left out.
     """
-    return quality.filter_kept(docs.select(*COLUMNS))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.filter_kept(docs.select(*COLUMNS), quality.fit(docs, labels))
 
 
 def keep_first_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage writes on its way is removed once its own rows are written."""
+    """All stages over documents; what a stage read and what it wrote on its way is removed once its own rows are written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_folder(spark, f"stage-{name}")
