@@ -7,12 +7,14 @@ best-fit decreasing, in bulk. The plan is a table of slots (length, range of ran
 the pieces by length and by their rank among the pieces of that length; ranks come from salted groups and prefix sums.
 
 Defined results: a null or empty text is one piece that holds only the end id; repeated rows are packed each for itself;
-a null doc_id stays null; an empty table gives no rows; further columns are ignored.
+a null doc_id stays null; a text of any length is encoded whole, in one task; pieces of one length are ranked by doc_id and
+piece, and equal ones in any order; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import sys
 import zlib
 from array import array
@@ -32,12 +34,25 @@ REMEMBERED, LONGEST = 1_400_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# The normaliser and the splitter that never look across a word's edges.
+BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+
+
 class Words(dict):
-    """Little-endian ids of a word without white space; the normaliser and the splitter never look across it."""
+    """Little-endian ids of a word without white space. A tokenizer of another kind encodes each text as a whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        self.by_word = (own.get("normalizer"), own.get("pre_tokenizer")) == BY_WORD and own["model"]["type"] == "BPE" and not any(t["normalized"] or " " in t["content"] for t in own.get("added_tokens", ()))
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
         self.most = REMEMBERED
@@ -53,6 +68,8 @@ class Words(dict):
         return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return np.asarray(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out = []
         for part in segments(text, 1 << 20):
             try:  # Latin-1 is composed already, and lower case maps it letter by letter

@@ -98,6 +98,25 @@ def test_packing_holds_every_piece_once(spark, odd_docs, some_docs, capacity):
         assert used <= -(-total // capacity) * 1.25 + 2
 
 
+def test_tokenizers_of_another_kind(tmp_path):
+    """Without lower case, or with spaces as part of tokens: whole texts are encoded, not words."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    own = json.loads(open(WORDS, encoding="utf-8").read())
+    assert packing.Words(WORDS).by_word
+    for k, change in enumerate((lambda c: c["normalizer"]["normalizers"].pop(), lambda c: c.update(normalizer=None), lambda c: c["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"))):
+        other = json.loads(json.dumps(own))
+        change(other)
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(other))
+        words, whole = packing.Words(str(path)), Tokenizer.from_file(str(path))
+        assert not words.by_word
+        for text in ("", "Some Text, don't  it?\n New", "É é 日本 12"):
+            assert words.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def best(lengths: tuple[int, ...], capacity: int) -> int:
     """Fewest bins, by trying all."""
     found = [len(lengths)]
