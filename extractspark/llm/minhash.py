@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import column, lean, slices, written
+from .common import column, drop_folder, lean, new_folder, scratch, slices, trim, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: Linked if FRACTION[1] * intersection >= FRACTION[0] * union.
@@ -272,8 +272,8 @@ def deltas(ties: DataFrame, sets: DataFrame) -> DataFrame:
     return with_sets(ties, sets).mapInArrow(lean(run), "a long, b long, lead_set long, size long, n long, common long, lacked binary, beyond binary")
 
 
-def _block_links(asks: list[dict], members: list[dict]) -> Iterator[tuple[int, int]]:
-    """Links between members of one lead that join components: those that ask against all."""
+def _block_links(asks: np.ndarray, members: np.ndarray, of: dict[str, np.ndarray], lacked: pa.Array, beyond: pa.Array) -> Iterator[tuple[int, int]]:
+    """Links between members of one lead that join components: those that ask against all. Both are row numbers of the columns."""
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -281,32 +281,32 @@ def _block_links(asks: list[dict], members: list[dict]) -> Iterator[tuple[int, i
             c = root[c]
         return c
 
-    size = members[0]["size"]
-    n = np.array([m["n"] for m in members])
-    common = np.array([m["common"] for m in members])
-    masks = np.frombuffer(b"".join(m["lacked"] for m in members), np.uint64).reshape(len(members), -1)
-    own = [np.frombuffer(m["beyond"], np.uint64) for m in members]
-    owner = np.repeat(np.arange(len(members)), [len(o) for o in own])
+    size, n, common, component, ids = int(of["size"][members[0]]), of["n"][members], of["common"][members], of["component"][members].tolist(), of["id"][members].tolist()
+    masks = np.frombuffer(b"".join(lacked[k].as_buffer() for k in members.tolist()), np.uint64).reshape(len(members), -1)
+    own = [np.frombuffer(beyond[k].as_buffer(), np.uint64) for k in members.tolist()]
+    owner = np.repeat(np.arange(len(members), dtype=np.int32), [len(o) for o in own])
     values = np.concatenate(own)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    for x in asks:
-        mine = np.frombuffer(x["beyond"], np.uint64)
+    for x in asks.tolist():
+        mine = np.frombuffer(beyond[x].as_buffer(), np.uint64)
         low, high = np.searchsorted(values, mine), np.searchsorted(values, mine, "right")
         many = high - low
         hits = owner[np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
-        both = np.bincount(hits, minlength=len(members)) + np.bitwise_count(masks & np.frombuffer(x["lacked"], np.uint64)).sum(axis=1, dtype=np.int64)
-        shared = x["common"] + common - size + both
-        for i in np.flatnonzero((shared > 0) & (FRACTION[1] * shared >= FRACTION[0] * (x["n"] + n - shared))).tolist():
-            c, d = find(x["component"]), find(members[i]["component"])
+        both = np.bincount(hits, minlength=len(members)) + np.bitwise_count(masks & np.frombuffer(lacked[x].as_buffer(), np.uint64)).sum(axis=1, dtype=np.int64)
+        shared = of["common"][x] + common - size + both
+        for i in np.flatnonzero((shared > 0) & (FRACTION[1] * shared >= FRACTION[0] * (of["n"][x] + n - shared))).tolist():
+            c, d = find(int(of["component"][x])), find(component[i])
             if c != d:
                 root[max(c, d)] = min(c, d)
-                yield x["id"], members[i]["id"]
+                yield int(of["id"][x]), ids[i]
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and component (least id) of every id in links (a, b)."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    spark = links.sparkSession
+    path = new_folder(spark, "edges")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", path)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -314,18 +314,17 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
+        before, path = path, new_folder(spark, "edges")
+        edges = written(small, "edges", path)
+        drop_folder(spark, before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         state = (now["n"], now["h"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
-    rows = written(described(docs), "described")
-    known = rows.where("n > 0 and doc_id is not null")
-    classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("packed").alias("packed")), "classes")
+def _labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and component of the classes of equal sets that are linked with others."""
     buckets = banded(classes)
     shared = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
     ties = written(buckets.join(shared, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "ties")
@@ -335,8 +334,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = judged.where("linked").select("a", "b")
     labels = components(links)
     more = written(across(judged, labels, sets), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row."""
+    spark = docs.sparkSession
+    rows = written(described(docs), "described")
+    known = rows.where("n > 0 and doc_id is not null")
+    classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("packed").alias("packed")), "classes")
+    path = new_folder(spark, "labels")
+    with scratch(spark):
+        labels = written(_labels(docs, classes), "labels", path)
     classed = classes.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     plain = rows.select("doc_id", F.col("n").alias("n_shingles"), *[F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(d)).alias(d) for d in ("d1", "d2")])
     found = plain.join(classed, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
@@ -363,10 +372,17 @@ def across(judged: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     placed = placed.withColumn("group", F.pmod(F.xxhash64("lead", "lead_set", "i", "j"), F.lit(groups)))
 
     def run(rows: pa.Table) -> pa.Table:
-        held: dict[tuple, tuple[list, list]] = {}
-        for r in rows.to_pylist():
-            held.setdefault((r["lead"], r["lead_set"], r["i"], r["j"]), ([], []))[0 if r["asks"] else 1].append(r)
-        found = [(min(x, y), max(x, y)) for asks, members in held.values() if asks and members for x, y in _block_links(asks, members)]
+        rows = rows.combine_chunks()
+        of = {c: rows[c].to_numpy() for c in ("lead", "lead_set", "i", "j", "id", "n", "common", "component", "size", "asks")}
+        lacked, beyond = (rows[c].chunk(0) if rows.num_rows else pa.array([], pa.binary()) for c in ("lacked", "beyond"))
+        order = np.lexsort((of["j"], of["i"], of["lead_set"], of["lead"]))
+        ends = np.flatnonzero(np.any([of[c][order][1:] != of[c][order][:-1] for c in ("lead", "lead_set", "i", "j")], axis=0)) + 1 if len(order) else []
+        found = []
+        for block in np.split(order, ends):
+            asks, members = block[of["asks"][block]], block[~of["asks"][block]]
+            if len(asks) and len(members):
+                found += [(min(x, y), max(x, y)) for x, y in _block_links(asks, members, of, lacked, beyond)]
+        trim()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return placed.groupBy("group").applyInArrow(run, "a long, b long")
