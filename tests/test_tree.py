@@ -79,6 +79,15 @@ def test_deep_and_wide_pages_take_time_by_their_length():
     assert time.perf_counter() - began < 10
 
 
+def test_items_of_one_long_list_take_time_by_its_length():
+    root = html.parse("<div>" + "".join(f"<div class=card><h2>n{i}</h2><span>{i % 7}</span></div>" for i in range(12_000)) + "</div>")
+    card = root.elements[0].elements[3]
+    fields = [rules.rule_for(rules.Match(e), group_index=0, attr_index=a) for a, e in enumerate(card.elements)]
+    began = time.perf_counter()
+    assert rules.replay_grouped(fields, root) == [[f"n{i}", str(i % 7)] for i in range(12_000)]
+    assert time.perf_counter() - began < 4
+
+
 def test_serialising():
     p = html.parse("<p title='a\"b' class='x y'>5 &lt; é<br><!--c--><script>a<b</script></p>", unescape=False)
     assert p.markup() == "<p title='a\"b' class=\"x y\">5 &lt; é<br/><!--c--><script>a<b</script></p>"
