@@ -31,17 +31,17 @@ def with_urls(rules: list[Rule]) -> list[tuple[Rule, str]]:
     return out
 
 
-def similar(pages: DataFrame, rules: list[Rule], sibling_leaves: bool = False, keep_blank: bool = False, otherwise: Fallback | None = None) -> DataFrame:
+def similar(pages: DataFrame, rules: list[Rule], sibling_leaves: bool = False, keep_blank: bool = False, otherwise: Fallback | None = None, unescape: bool | str = True) -> DataFrame:
     """page_id, stack_id, alias, seq, node_id and value of what the rules find on each page."""
-    return in_trees(pages, rules, False, 1.0, sibling_leaves, keep_blank, otherwise)
+    return in_trees(pages, rules, False, 1.0, sibling_leaves, keep_blank, otherwise, unescape)
 
 
-def in_trees(pages: DataFrame, rules: list[Rule], exactly: bool, attr_fuzz_ratio: float = 1.0, sibling_leaves: bool = False, keep_blank: bool = False, otherwise: Fallback | None = None) -> DataFrame:
-    """The rows of similar or exact replay, page by page."""
+def in_trees(pages: DataFrame, rules: list[Rule], exactly: bool, attr_fuzz_ratio: float = 1.0, sibling_leaves: bool = False, keep_blank: bool = False, otherwise: Fallback | None = None, unescape: bool | str = True) -> DataFrame:
+    """The rows of similar or exact replay, page by page; unescape: see html.parse."""
     known = with_urls(rules)
 
     def find(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
-        root, empty = html.parse(page), True
+        root, empty = html.parse(page, unescape), True
         for r, base in known:
             for e in replay_exact(r, root, attr_fuzz_ratio) if exactly else replay_similar(r, root, attr_fuzz_ratio, sibling_leaves):
                 value = value_of(e, r, url or base)
