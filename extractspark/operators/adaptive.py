@@ -214,17 +214,17 @@ def fallback(store: SignatureStore, min_similarity: float = 0.5, weights: dict |
     return rows
 
 
-def find(pages: DataFrame, store: SignatureStore, identifiers: list[str] | None = None, min_similarity: float = 0.5, weights: dict | None = None, every: bool = False, domain: str | None = None) -> DataFrame:
+def find(pages: DataFrame, store: SignatureStore, identifiers: list[str] | None = None, min_similarity: float = 0.5, weights: dict | None = None, every: bool = False, domain: str | None = None, unescape: bool | str = True) -> DataFrame:
     """page_id, identifier, alias, node_id, score, value: the best element for each stored signature of the page's domain.
 
-    With a domain, its signatures are looked for on all pages.
+    With a domain, its signatures are looked for on all pages. unescape: see html.parse.
     """
     data = store.export_all()
 
     def rows(page_id: int | None, url: str | None, page: str) -> Iterator[tuple]:
         known = data.get(domain or domain_of(url), {})
         wanted = {i: p for i, p in known.items() if identifiers is None or i in identifiers}
-        root = html.parse(page) if wanted else None
+        root = html.parse(page, unescape) if wanted else None
         for identifier, stored in wanted.items():
             found = best_matches(root, stored, min_similarity, url or "", weights)
             for e, s in found if every else found[:1]:
